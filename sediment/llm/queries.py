@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import language_id, lm_scoring, quality_rules
 
-MODULES = [quality_rules]
+MODULES = [quality_rules, language_id, lm_scoring]
 
 
 def queries() -> dict:
