@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, lm_scoring, quality_rules
+from . import ann, chat, html_text, language_id, lm_scoring, near_dup, packing, quality_rules, warc
 
-MODULES = [quality_rules, language_id, lm_scoring]
+MODULES = [warc, near_dup, packing, ann, quality_rules, chat, language_id, html_text, lm_scoring]
 
 
 def queries() -> dict:
