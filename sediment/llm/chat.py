@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .packing import TOKENIZER, encoder, tokenizer_path
+from .packing import TOKENIZER, byte_table, encoder, tokenizer_path
 
 LEARNED_ROLE = "assistant"
 STOP = "</turn>\n"
@@ -63,18 +63,6 @@ def turns_of(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def byte_table(tokenizer) -> list[bytes]:
-    """The bytes that each id of a byte-level vocabulary stands for."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    chars = {chr(b): b for b in printable}
-    chars |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-    vocab = tokenizer.get_vocab(with_added_tokens=False)
-    out = [b""] * (max(vocab.values()) + 1)
-    for token, i in vocab.items():
-        out[i] = bytes(chars[c] for c in token)
-    return out
-
-
 FORMATTED = "shard long, seq long, conv_id long, n_turns long, shared_turns long, offset long, position long, token_ids array<int>, loss_from array<int>, loss_to array<int>, attend_from array<long>, attend_to array<long>, turn_ends array<int>"
 
 

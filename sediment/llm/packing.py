@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
@@ -29,18 +30,34 @@ from . import common
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of a worker's cache of encoded words, for memory; what doesn't fit is encoded again.
+#: Words that a worker remembers in each of two generations, for memory; what it forgets is encoded again.
 CACHE = 300_000
+#: Unseen words that are encoded as one text.
+TOGETHER = 200
 BUCKETS = 256
-_ODD = re.compile(r"\s[ ]|[ ]\s|^ | $")
+_SPACES = {0xC2: {(0x85,), (0xA0,)}, 0xE1: {(0x9A, 0x80)}, 0xE2: {(0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)} | {(0x81, 0x9F)}, 0xE3: {(0x80, 0x80)}}
+_OTHER = re.compile(r"[^\S \n]|[\x00-\x08\x0b-\x1f]")
+_RARE = np.zeros(256, bool)
+_RARE[[*range(0x0A), *range(0x0B, 0x20), *_SPACES]] = True
+
+
+def other_spaces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which texts hold white space (or a control character) other than spaces and line feeds."""
+    out = np.zeros(len(off) - 1, bool)
+    for at in np.flatnonzero(_RARE[data]).tolist():
+        ends = _SPACES.get(int(data[at]))
+        if ends is None or any(tuple(data[at + 1 : at + 1 + len(e)]) == e for e in ends):
+            out[np.searchsorted(off, at, "right") - 1] = True
+    return out
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's splitting rule never joins what stands before a single space with what follows it: where that
-    space is between two characters that aren't white space, the text can be cut before it, and each part (a word
-    with its space) is encoded once and remembered. A text with any other space is encoded whole.
+    The vocabulary's splitting rule never joins what stands before a single space or line feed with what follows: where
+    it is between two characters that aren't white space, the text can be cut before it, and each part (a word with
+    its space or line feed) is encoded once and remembered. Unseen parts are encoded together, as one text that is
+    cut at the same places. A text with any other white space is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,27 +66,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.size = np.array([len(x) for x in byte_table(self.tokenizer)])
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with the space or line feed before it."""
+        out: list[bytes] = []
+        full = [w if w[0] == "\n" else " " + w for w in words]
+        groups = [full[i : i + TOGETHER] for i in range(0, len(full), TOGETHER)]
+        for group, ids in zip(groups, self.whole(["".join(g) for g in groups]), strict=True):
+            ends = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
+            at = (4 * (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in group])) + 1)).tolist()
+            out += [ids[x:y] for x, y in zip([0, *at], at, strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [_ODD.search(t) is None for t in texts]
-        parts = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
+        return self.encode_plain(texts, [_OTHER.search(t) is not None for t in texts])
+
+    def encode_plain(self, texts: list[str], odd: list[bool]) -> list[bytes]:
+        """odd: which texts hold other white space."""
+        split = [None if bad else t.replace("\n", " \n").split(" ") for t, bad in zip(texts, odd, strict=True)]
+        split = [None if p is None or "" in p or "\n" in p else p for p in split]
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
         new: set[str] = set()
-        for p in parts:
+        for p in split:
             if p:
                 new.update(p[1:])
-        new -= self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = set().union(*(p[1:] for p in parts if p))
-        new_list = list(new)
-        self.known.update(zip(new_list, self.whole([" " + w for w in new_list]), strict=True))
-        first = self.whole([p[0] if p else t for t, p in zip(texts, parts, strict=True)])
+        new = new.difference(self.known)
+        self.known.update({w: self.old[w] for w in new if w in self.old})
+        unseen = list(new.difference(self.old))
+        self.known.update(zip(unseen, self.parts(unseen), strict=True))
+        first = self.whole([p[0] if p else t for t, p in zip(texts, split, strict=True)])
         get = self.known.__getitem__
-        return [f + b"".join(map(get, p[1:])) if p else f for f, p in zip(first, parts, strict=True)]
+        return [f + b"".join(map(get, p[1:])) if p else f for f, p in zip(first, split, strict=True)]
+
+
+def byte_table(tokenizer) -> list[bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(b): b for b in printable}
+    chars |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    out = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(chars[c] for c in token)
+    return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -102,7 +148,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
         for b in common.slices(batches, "text"):
             cols: dict[str, list] = {f.name: [] for f in schema}
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+            odd = other_spaces(*common.arrow_bytes(b.column("text"))).tolist()
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), enc.encode_plain(texts, odd), strict=True):
                 raw += end
                 n = len(raw) // 4
                 cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
