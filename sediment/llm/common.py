@@ -147,18 +147,16 @@ def picked(df: DataFrame, **casts: str) -> DataFrame:
     return df.select(*[F.col(f"`{k}`").cast(v).alias(k) for k, v in casts.items()])
 
 
-def ranked(df: DataFrame, keys: list[str], bucket: str, order: list, rank: str, parts: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], bucket: str, order: list, rank: str) -> DataFrame:
     """Adds `rank`: 0, 1, ... within `keys`, ordered by (bucket, order), without one task per key.
 
     `bucket` is a column that spreads each key's rows; a key's rows are numbered bucket by bucket, and the
-    buckets' counts (at most keys x buckets rows) give where each begins. df is read twice: pass a written table.
+    buckets' counts (at most keys x buckets rows) give where each begins. Keys and bucket must not be null.
+    df is read twice: pass a written table, or one whose rows come out alike each time.
     """
     from pyspark.sql import Window
 
     counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
     begin = counts.withColumn("_begin", F.sum("_n").over(Window.partitionBy(*keys).orderBy(bucket)) - F.col("_n")).drop("_n")
     local = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)) - F.lit(1))
-    same = F.lit(True)
-    for k in [*keys, bucket]:
-        same = same & local[k].eqNullSafe(begin[k])
-    return local.join(begin, same).select(*[local[c] for c in df.columns], (F.col("_begin") + F.col("_at")).cast("long").alias(rank))
+    return local.join(begin, [*keys, bucket]).select(*[f"`{c}`" for c in df.columns], (F.col("_begin") + F.col("_at")).cast("long").alias(rank))

@@ -32,8 +32,8 @@ HASHES = 64
 TREES, DEPTH, LEAST = 16, 8, 4
 #: Link if PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Regions of at most so many classes are looked at pair by pair.
-REGION = 64
+#: Regions of at most so many classes are looked at pair by pair; larger ones are cut at a greater depth.
+REGION = 512
 _RNG = np.random.default_rng(2)
 _MULTIPLY = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -61,10 +61,10 @@ def sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.
     return (np.concatenate(parts) if parts else w[:0]), np.cumsum(size)
 
 
-SIGNED = "doc_id long, text_hash long, n_shingles long, node long, check long, signature binary"
+SIGNED = "doc_id long, row long, text_hash long, n_shingles long, node long, check long, signature binary"
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def signed(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
     """SIGNED for every row: node and check are order-free hashes of the set, signature its MinHash values."""
     common.ship(docs.sparkSession)
     schema = common.fields(SIGNED)
@@ -85,9 +85,10 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             values = np.full(len(n), None, object)
             for i, row in zip(some.tolist(), least, strict=True):
                 values[i] = row.tobytes()
-            yield common.batch(schema, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), n_shingles=n, node=node.view(np.int64), check=check.view(np.int64), signature=pa.array(values, pa.binary()))
+            yield common.batch(schema, doc_id=b.column("doc_id"), row=b.column("row"), text_hash=b.column("text_hash"), n_shingles=n, node=node.view(np.int64), check=check.view(np.int64), signature=pa.array(values, pa.binary()))
 
-    rows = common.picked(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
+    number = F.col(f"`{row}`").cast("long") if row else F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     return rows.mapInArrow(run, SIGNED)
 
 
@@ -196,14 +197,112 @@ def overlapping(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shin
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def unsettled(orders: DataFrame, roots: DataFrame) -> DataFrame:
+    """(block, node, root): blocks of classes that share a region, but not all one component yet.
+
+    A region of more than REGION classes is cut by the next value of its order, and so on to DEPTH; there, what is
+    still larger is cut by hash. Regions of two were settled as neighbours. Sizes come from aggregates and meet the rows in
+    joins, so that no region has to fit in one task.
+    """
+    rows = orders.select("key", "node").distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    out = None
+    for depth in range(LEAST, DEPTH + 1):
+        rows = rows.withColumn("block", F.substring("key", 1, 1 + 4 * depth))
+        sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
+        rows = common.written(rows.join(sizes.select("block", "n"), "block"), "regions")
+        small = rows.where(F.col("n") <= REGION)
+        if depth == DEPTH:
+            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))
+            small = rows.withColumn("block", F.concat("block", F.when(F.col("n") > REGION, F.unhex(F.lpad(F.hex(part), 16, "0"))).otherwise(F.unhex(F.lit("")))))
+        small = small.select("block", "node", "root")
+        out = small if out is None else out.unionByName(small)
+        rows = rows.where(F.col("n") > REGION).select("key", "node", "root")
+        if rows.isEmpty():
+            break
+    return out
+
+
+def block_links(node: np.ndarray, root: np.ndarray, h: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of one block that its full sets show: one for each pair of components joined."""
+    names, comp = np.unique(root, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.diff(first)
+    shingle, at = np.unique(h, return_inverse=True)
+    owner = np.repeat(np.arange(len(node)), size)
+    order = np.argsort(at, kind="stable")
+    holders, begin = owner[order], np.searchsorted(at[order], np.arange(len(shingle) + 1))
+    out = []
+    largest = np.bincount(comp).argmax()
+    for i in np.flatnonzero(comp != largest).tolist():
+        mine = at[first[i] : first[i + 1]]
+        count = begin[mine + 1] - begin[mine]
+        keep = count > 1
+        if not keep.any():
+            continue
+        a, n = begin[mine[keep]], count[keep]
+        place = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(holders[place], minlength=len(node))
+        for j in np.flatnonzero(100 * both >= percent * (size[i] + size - both)).tolist():
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                parent[x] = y
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def settled(blocks: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(u, v): links between components within blocks, from full sets. A block has at most about REGION texts."""
+    schema = common.fields("u long, v long")
+    rows = blocks.join(texts, "node").select("block", "node", "root", "text")
+    dealt = rows.repartition(common.buckets(blocks.sparkSession), "block").sortWithinPartitions("block")
+
+    def run(batches):
+        now, held = None, []
+
+        def out():
+            parts = [sets(*common.arrow_bytes(b.column("text")), shingle) for b in held]
+            h = np.concatenate([x for x, _ in parts])
+            first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+            node, root = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("node", "root"))
+            links = block_links(node, root, h, first, percent)
+            return common.batch(schema, u=[u for u, _ in links], v=[v for _, v in links])
+
+        for b in common.slices(batches, "text"):
+            names = b.column("block").to_pylist()
+            at = 0
+            while at < len(names):
+                to = at
+                while to < len(names) and names[to] == names[at]:
+                    to += 1
+                if names[at] != now and held:
+                    yield out()
+                    held = []
+                now = names[at]
+                held.append(b.slice(at, to - at))
+                at = to
+        if held:
+            yield out()
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    row: a column that numbers the rows; it comes back with the row that stands for the component, as `winner`.
+    """
     spark = docs.sparkSession
-    rows = common.written(signed(docs, shingle), "signed")
-    classes = common.written(
-        rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("who"), F.min("doc_id").alias("label"), F.first("signature").alias("signature")).select("node", "label", F.col("who.doc_id").alias("doc_id"), F.col("who.text_hash").alias("text_hash"), "signature"),
-        "classes",
-    )
+    rows = common.written(signed(docs, shingle, row), "signed")
+    # the smallest doc_id, its first row; nulls come last
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")
+    classes = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(who).alias("label"), F.first("signature").alias("signature")).select("node", "label", F.col("label.doc_id").alias("doc_id"), F.col("label.text_hash").alias("text_hash"), "signature"), "classes")
     orders = common.written(forest(classes), "orders")
     extra = spark.createDataFrame(across(orders), "u long, v long")
     pairs = orders.where("other is not null").select(*ordered_pair(F.col("node"), F.col("other"))).unionByName(extra.select(*ordered_pair(F.col("u"), F.col("v")))).where("u <> v").distinct()
@@ -212,18 +311,32 @@ def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) ->
     asked = classes.join(nodes, "node").select("node", "doc_id", "text_hash")
     whole = common.picked(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     texts = common.written(asked.join(whole, asked["doc_id"].eqNullSafe(whole["doc_id"]) & (asked["text_hash"] == whole["text_hash"])).select("node", "text").dropDuplicates(["node"]), "texts")
-    links = common.written(overlapping(pairs, texts, percent, shingle), "links")
-    roots = components(links)
-    named = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))
-    named = common.written(named, "named")
-    least = named.groupBy("root").agg(F.min("label").alias("component_id"))
-    final = named.join(least, "root").select("node", "component_id")
-    out = rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    roots = common.written(components(overlapping(pairs, texts, percent, shingle)), "roots")
+    more = common.written(settled(unsettled(orders, roots), texts, percent, shingle), "links")
+    # the new links join components: whole components take the place of their classes
+    up = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
+    joined = more.join(up, "u", "left").withColumn("a", F.coalesce("a", "u")).join(up.select(F.col("u").alias("v"), F.col("a").alias("b")), "v", "left").withColumn("b", F.coalesce("b", "v"))
+    over = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")).join(over, "root", "left")
+    named = common.written(named.select("node", "label", F.coalesce("top", "root").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("label").alias("least"))
+    final = named.join(least, "root").select("node", "least")
+    some = F.col("n_shingles") > 0
+    out = rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(some, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", F.when(some, F.col("least.row")).otherwise(F.col("row")).alias("winner"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", *(["row", "winner"] if row else []))
 
 
 def op2_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_dup(common.table(spark, sf_dir, "documents"))
 
 
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group, that of the smallest doc_id, with all its columns."""
+    name = common.unused(docs, "row_number")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    judged = near_dup(numbered, row=name)
+    gone = judged.where("row <> winner").select(F.col("row").alias(name))
+    return numbered.join(gone, name, "left_anti").drop(name)
+
+
 QUERIES = {"op2_near_dup": op2_near_dup}

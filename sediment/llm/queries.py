@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html_text, language_id, lm_scoring, near_dup, packing, quality_rules, warc
+from . import ann, chat, html_text, language_id, lm_scoring, mixing, near_dup, packing, quality_rules, warc
 
-MODULES = [warc, near_dup, packing, ann, quality_rules, chat, language_id, html_text, lm_scoring]
+MODULES = [warc, near_dup, packing, ann, quality_rules, mixing, chat, language_id, html_text, lm_scoring]
 
 
 def queries() -> dict:
