@@ -3,8 +3,10 @@
 Vectors are dealt to partitions (k-means); what a vector has beyond its partition's centre is coded in four bits for
 each pair of dimensions. Codes and codebooks minimise a loss that weighs the error parallel to a vector ETA times
 the error across it, as only the former moves large inner products. A query looks at the partitions whose centres
-have the largest inner products with it, scans their codes with a table of its products with all code words, and
-reranks the best of each block with exact products in double precision.
+have the largest inner products with it (as many as hold nearly all neighbours within the sample: few where vectors lie in
+clusters, most where they don't), scans their codes with a table of its products with all code words, and
+reranks the best of each block, and all that the codes' error may hide among them, with exact products in double
+precision.
 
 The model is fitted on at most FIT_ROWS rows, taken by hash; every row is indexed. Rows of a partition are cut into
 blocks and its queries into groups, so that a partition that holds a third of all rows is many tasks' work, and each
@@ -29,9 +31,9 @@ from . import common
 NEAREST = 20
 #: Rows that centres and codebooks may be fitted on.
 FIT_ROWS = 16_384
-#: Share of the partitions that a query looks at, and the least number.
-PROBE_SHARE, LEAST_PROBES = 0.3, 8
-#: Of each block, so many are reranked for each wanted neighbour.
+#: A query looks at as many partitions as hold this share of the neighbours of CALIBRATE of the sample's rows.
+HELD, CALIBRATE = 0.985, 512
+#: Of each block, so many at least are reranked for each wanted neighbour.
 RERANK = 4
 BLOCK, GROUP = 8192, 2048
 #: The share of a vector's norm from which a product counts as large; it gives ETA.
@@ -127,6 +129,21 @@ def fit(x: np.ndarray, partitions: int, threshold: float = THRESHOLD, rounds: in
     return model
 
 
+def probes_needed(model: Model, x: np.ndarray, k: int, share: float) -> int:
+    """How many partitions, by the product of query and centre, hold this share of the k best products within a sample."""
+    q = x[:CALIBRATE]
+    part = model.assigned(x)
+    rank = np.argsort(np.argsort(-(q @ model.centres.T), axis=1, kind="stable"), axis=1)
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(model.centres)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    depth = np.sort(rank[np.arange(len(q))[:, None], part[near]].ravel())
+    return int(depth[min(len(depth) - 1, int(np.ceil(share * len(depth))) - 1)]) + 1
+
+
 def packed(codes: np.ndarray) -> np.ndarray:
     """Two codes to a byte."""
     if codes.shape[1] % 2:
@@ -174,7 +191,7 @@ def matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
-def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROWS, probe_share: float = PROBE_SHARE, rerank: int = RERANK) -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROWS, held_share: float = HELD, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: of each row for which is_query holds, the k other rows with the largest products that were found."""
     spark = rows.sparkSession
     common.ship(spark)
@@ -185,7 +202,7 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
         return spark.createDataFrame([], result)
     sample = table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("embedding").toArrow()
     x = matrix(sample.column("embedding")).astype(np.float64)
-    model = fit(x, max(1, min(len(x) // 32, round(n**0.5 / 2))))
+    model = fit(x, max(1, min(len(x) // 32, round(n**0.5 / 8))))
     shared = spark.sparkContext.broadcast(model)  # at most fit_rows / 32 centres
 
     def code(batches):
@@ -202,7 +219,7 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
     index = common.written(table.mapInArrow(code, "part int, salt long, vec_id long, codes binary, embedding array<float>"), "codes")
     rows_in = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one for each centre
     held = np.array([rows_in.get(p, 0) for p in range(len(model.centres))])
-    probes = max(LEAST_PROBES, int(np.ceil(probe_share * len(held))))
+    probes = probes_needed(model, x, k, held_share)
 
     def route(batches):
         schema = common.fields("part int, query_id long, query array<float>, salt long")
@@ -240,10 +257,11 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
         a = a.sort_by("vec_id")
         ids, v = a.column("vec_id").to_numpy(), matrix(a.column("embedding")).astype(np.float64)
         codes = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        centre = m.centres[a.column("part")[0].as_py()]
         names, q = b.column("query_id").to_numpy(), matrix(b.column("query")).astype(np.float64)
         out = []
         for i in range(0, len(names), 64):
-            near = scanned(m.tables(q[i : i + 64]), codes)
+            near = scanned(m.tables(q[i : i + 64]), codes) + (q[i : i + 64] @ centre)[:, None]
             for j in range(len(near)):
                 s = near[j]
                 own = np.flatnonzero(ids == names[i + j])
@@ -251,6 +269,11 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
                 some = best(s, k * rerank)
                 some = some[ids[some] != names[i + j]]
                 exact = (v[some] * q[i + j]).sum(axis=1)
+                if len(some) > k:
+                    # whatever may reach the k-th best exact product, by twice what codes were off so far, is reranked too
+                    least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                    some = np.flatnonzero(s >= least - 2 * np.abs(exact - s[some]).max())
+                    exact = (v[some] * q[i + j]).sum(axis=1)
                 order = np.lexsort((ids[some], -exact))[:k]
                 out.append((np.full(len(order), names[i + j]), ids[some][order], exact[order]))
         return pa.Table.from_batches([common.batch(schema, query_id=np.concatenate([x[0] for x in out]), vec_id=np.concatenate([x[1] for x in out]), score=np.concatenate([x[2] for x in out]))])

@@ -85,3 +85,17 @@ def test_codes_lower_the_anisotropic_loss():
     q = x[:5]
     back = model.book[np.arange(model.pairs), aware].reshape(len(x), -1)
     assert np.allclose(ann.scanned(model.tables(q), ann.packed(aware)), q @ back.T, atol=1e-4)
+
+
+def test_recall_in_a_tight_cluster(spark):
+    r = np.random.default_rng(7)
+    x = vectors(3000, 64, 5)
+    x[::3] = x[0] + 0.01 * r.normal(size=x[::3].shape)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(len(x))
+    got = {}
+    for g in ann.nearest(spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)], SCHEMA), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    want = exact(ids, x, 20)
+    recall = [len(got[q] & {a for a, _ in want[q]}) / 20 for q in want]
+    assert np.mean(recall) >= 0.95 and np.mean([v for q, v in zip(want, recall, strict=True) if q % 3 == 0]) >= 0.95
