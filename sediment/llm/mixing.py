@@ -136,11 +136,11 @@ s AS (
       SELECT t, done, list_transform(done, lambda v, j: CASE WHEN v * period // a[j] <= t THEN ((v + 1) * period + a[j] - 1) // a[j] ELSE 1000000000000 END) AS d
       FROM s, l WHERE t < period))
 ),
-slots AS (SELECT pick AS i, t - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM s WHERE t > 0),
-last AS (SELECT max((blocks - 1) // a * period + at) + 1 AS finish FROM z JOIN slots ON z.i = slots.i AND nth = (blocks - 1) % a),
-u AS (SELECT z.*, finish // period * a + (SELECT count(*) FROM slots WHERE slots.i = z.i AND at < finish % period) AS uses FROM z, last),
+slots AS (SELECT pick AS i, t - 1 AS spot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM s WHERE t > 0),
+last AS (SELECT max((blocks - 1) // a * period + spot) + 1 AS finish FROM z JOIN slots ON z.i = slots.i AND nth = (blocks - 1) % a),
+u AS (SELECT z.*, finish // period * a + (SELECT count(*) FROM slots WHERE slots.i = z.i AND spot < finish % period) AS uses FROM z, last),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents),
 e AS (SELECT d.doc_id, d.source, r // {BLOCK} AS b, r % {BLOCK} AS place, u.* EXCLUDE (source), unnest(range(0, (uses - 1 - r // {BLOCK}) // blocks + 1)) AS epoch FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, e.source, epoch::BIGINT AS epoch, ((b + epoch * blocks) // a * period + at)::BIGINT AS slot, place::INT AS place
+SELECT doc_id, e.source, epoch::BIGINT AS epoch, ((b + epoch * blocks) // a * period + spot)::BIGINT AS slot, place::INT AS place
 FROM e JOIN slots ON e.i = slots.i AND nth = (b + epoch * blocks) % a"""
 }
