@@ -197,19 +197,20 @@ def overlapping(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shin
     return rows.mapInArrow(run, "u long, v long")
 
 
-def unsettled(orders: DataFrame, roots: DataFrame) -> DataFrame:
-    """(block, node, root): blocks of classes that share a region, but not all one component yet.
+def unsettled(orders: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(block, node, root), and the written tables that it reads: blocks of classes that share a region, but not all one component yet.
 
     A region of more than REGION classes is cut by the next value of its order, and so on to DEPTH; there, what is
     still larger is cut by hash. Regions of two were settled as neighbours. Sizes come from aggregates and meet the rows in
     joins, so that no region has to fit in one task.
     """
     rows = orders.select("key", "node").distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    out = None
+    out, tables = None, []
     for depth in range(LEAST, DEPTH + 1):
         rows = rows.withColumn("block", F.substring("key", 1, 1 + 4 * depth))
         sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
         rows = common.written(rows.join(sizes.select("block", "n"), "block"), "regions")
+        tables.append(rows)
         small = rows.where(F.col("n") <= REGION)
         if depth == DEPTH:
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))
@@ -219,7 +220,7 @@ def unsettled(orders: DataFrame, roots: DataFrame) -> DataFrame:
         rows = rows.where(F.col("n") > REGION).select("key", "node", "root")
         if rows.isEmpty():
             break
-    return out
+    return out, tables
 
 
 def block_links(node: np.ndarray, root: np.ndarray, h: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -312,13 +313,16 @@ def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, ro
     whole = common.picked(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     texts = common.written(asked.join(whole, asked["doc_id"].eqNullSafe(whole["doc_id"]) & (asked["text_hash"] == whole["text_hash"])).select("node", "text").dropDuplicates(["node"]), "texts")
     roots = common.written(components(overlapping(pairs, texts, percent, shingle)), "roots")
-    more = common.written(settled(unsettled(orders, roots), texts, percent, shingle), "links")
+    blocks, regions = unsettled(orders, roots)
+    more = common.written(settled(blocks, texts, percent, shingle), "links")
     # the new links join components: whole components take the place of their classes
     up = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
     joined = more.join(up, "u", "left").withColumn("a", F.coalesce("a", "u")).join(up.select(F.col("u").alias("v"), F.col("a").alias("b")), "v", "left").withColumn("b", F.coalesce("b", "v"))
     over = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")).join(over, "root", "left")
     named = common.written(named.select("node", "label", F.coalesce("top", "root").alias("root")), "named")
+    for t in (classes, orders, pairs, texts, roots, more, *regions):
+        common.drop(t)
     least = named.groupBy("root").agg(F.min("label").alias("least"))
     final = named.join(least, "root").select("node", "least")
     some = F.col("n_shingles") > 0
