@@ -152,7 +152,7 @@ SELECT key, bool_and({probe('h1', 'h2', 'i', 'bits')} IN (SELECT bit FROM setbit
         "kv_bloom_skips": rec + f""", {PROBES}, {asked}, {filters},
 hits AS (SELECT p.key, s.generation, bool_and(b.bit IS NOT NULL) AS maybe FROM ph p CROSS JOIN sizes s CROSS JOIN range(5) AS r(i)
   LEFT JOIN setbits b ON b.generation = s.generation AND b.bit = {probe('h1', 'h2', 'i', 's.bits')} GROUP BY p.key, s.generation)
-SELECT key, count(*) AS runs, sum((NOT maybe)::BIGINT)::BIGINT AS skipped FROM hits GROUP BY key""",
+SELECT p.key, (SELECT count(*) FROM sizes) AS runs, (SELECT count(*) FROM hits h WHERE h.key = p.key AND NOT h.maybe) AS skipped FROM ph p""",
         "ring_points": f"WITH {RING} SELECT node, point::VARCHAR AS point FROM ring",
         "ring_route": f"WITH {LOAD}, {routed('load')} SELECT key, node FROM routes",
         "ring_load": f"WITH {LOAD}, {routed('load')} SELECT node, count(*) AS keys FROM routes GROUP BY node",

@@ -29,7 +29,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("name", list(ORACLES))
-def test_query_matches_sql(spark, name, monkeypatch):
+def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
