@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import shutil
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into NumPy arrays at once (a longer text comes alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of one Arrow batch, where the session names no number: with long texts, Spark's own would take much memory twice.
+BATCH_ROWS = 1000
 
 _shipped: set[str] = set()
 
@@ -30,6 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once an application, so that they need no copy of the repository."""
+    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -103,6 +108,15 @@ def arrow_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def cuts(text: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes of text (one row at least), in order."""
     _, off = arrow_bytes(text)
@@ -111,6 +125,7 @@ def cuts(text: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield at, to
         at = to
+    release()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Words that a worker remembers in each of two generations, for memory; what it forgets is encoded again.
-CACHE = 300_000
+CACHE = 250_000
 #: Unseen words that are encoded as one text.
 TOGETHER = 200
 BUCKETS = 256
@@ -165,6 +165,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                     if with_ids:
                         cols["token_ids"].append(np.frombuffer(part, "<i4"))
             yield common.batch(schema, **cols)
+        enc.old = {}
+        common.release()
 
     return common.picked(docs, doc_id="long", text="string").mapInArrow(run, out)
 
