@@ -32,7 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once an application, so that they need no copy of the repository."""
+    """Send this package's code to the executors, once an application, so that they need no copy of the repository.
+
+    Spark's file server hands the archive out; executors never look into the driver's folder.
+    """
     if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxRecordsPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId

@@ -45,6 +45,8 @@ SWITCH = 16.0
 #: A script counts for a language if it has this share of the language's letters.
 SCRIPT_SHARE = 0.001
 NO_CANDIDATE = -40.0
+#: Bytes of text that are looked at together: every distinct word's n-grams are in memory at once.
+SLICE_BYTES = 256 << 10
 
 
 def letters(data: np.ndarray) -> np.ndarray:
@@ -175,14 +177,20 @@ def predict(model: Model, data: np.ndarray, off: np.ndarray, switch: float = SWI
     t = Text.read(data, off)
     per_word = model.word_scores(t) if model.langs else np.zeros((len(t.scripts), 0))
     size = t.n_letters.sum(axis=1)
+    plain = np.concatenate([[0], np.cumsum(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A))])
+    plain = plain[off[1:]] > plain[off[:-1]]
     out = []
     for d in range(len(off) - 1):
         a, b = t.first[d], t.first[d + 1]
         codes = t.codes[a:b]
         weight = size[codes]
-        if not model.langs or not weight.any():
+        # the script ranges are coarse: without a letter of A to Z, each character's category decides
+        if not model.langs or not plain[d] and not any(c.isalpha() for c in bytes(data[off[d] : off[d + 1]]).decode()):
             out.append({"lang": "und", "score": 0.0, "spans": []})
             continue
+        if not weight.any():  # only letters of no listed script
+            out.append({"lang": model.langs[0], "score": 1 / len(model.langs), "spans": []})
+            continue
         s = per_word[codes]
         whole = one_language(s, switch)
         path = np.full(b - a, whole, np.int32) if whole is not None else best_path(s, switch)
@@ -224,7 +232,7 @@ def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for b in common.slices(batches, "text"):
+        for b in common.slices(batches, "text", SLICE_BYTES):
             data, off = common.arrow_bytes(b.column("text"))
             langs_here = b.column("lang").to_pylist()
             for lang in dict.fromkeys(langs_here):
@@ -258,7 +266,7 @@ def labeller(spark, model: Model, switch: float = SWITCH, with_spans: bool = Fal
     @F.arrow_udf(OUT)
     def run(text: pa.Array) -> pa.Array:
         found = []
-        for at, to in common.cuts(text):
+        for at, to in common.cuts(text, SLICE_BYTES):
             found += predict(shared.value, *common.arrow_bytes(text.slice(at, to - at)), switch, with_spans)
         return pa.array(found, _OUT)
 

@@ -65,3 +65,10 @@ def test_nothing_to_learn_from(spark):
     got = li.language_id(spark.createDataFrame([(1, "some text", None, "a", 1)], DOCS)).collect()
     assert (got[0].lang_pred, got[0].score) == ("und", 0.0)
     assert li.language_id(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_letters_decide_on_und(spark):
+    texts = {1: "123 ... !?", 2: "\u0967\u0968 \u060c", 3: "\u05d0", 4: "\u02b0", 5: "\u0e01\u0e02", 6: "a", 7: "\U0001f600", 8: "\u0301"}
+    got = {g.doc_id: g.lang_pred for g in li.language_id(frame(spark, rows() + [(100000 + k, t, None, "s", 1) for k, t in texts.items()])).where("doc_id > 100000").collect()}
+    for k, t in texts.items():
+        assert (got[100000 + k] != "und") == any(c.isalpha() for c in t), t
