@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bloom, codec
+from ..functions import bloom, codec, vectors
+from ..shipping import ship
 from . import state
 
 THRESHOLD = 50
@@ -26,6 +27,7 @@ def numbered(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = Non
     shard: a column that tells stores apart (else the log is one store). every: a forced flush after so many ops
     besides; it does nothing where nothing waits.
     """
+    ship(log.sparkSession)
     cols = [*(["_shard"] if shard else []), "seq", "key", "op"]
     rows = log.withColumn("_shard", F.col(shard)) if shard else log
     slim = rows.select(*cols)
@@ -143,7 +145,7 @@ def filter_sizes(table: DataFrame) -> DataFrame:
 def filter_bits(table: DataFrame) -> DataFrame:
     """(generation, bits, bit): every set bit of each generation's filter, once."""
     sizes = filter_sizes(table).select("generation", "bits")
-    return table.select("generation", "key").join(sizes, "generation").select("generation", "bits", F.explode(bloom.probes(F.col("key"), F.col("bits"))).alias("bit")).distinct()
+    return table.select("generation", "key").join(sizes, "generation").select("generation", "bits", F.explode(vectors.probes(F.col("key"), F.col("bits"))).alias("bit")).distinct()
 
 
 def skips(table: DataFrame, keys: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def skips(table: DataFrame, keys: DataFrame) -> DataFrame:
     asked = keys.select("key").distinct()
     # a probe needs each filter's size: sizes are grouped, so that a key's positions are worked out once for each size
     pairs = asked.join(F.broadcast(sizes.groupBy("bits").agg(F.count(F.lit(1)).alias("same"))), how="cross")
-    places = pairs.select("key", "bits", F.explode(F.array_distinct(bloom.probes(F.col("key"), F.col("bits")))).alias("bit"))
+    places = pairs.select("key", "bits", F.explode(F.array_distinct(vectors.probes(F.col("key"), F.col("bits")))).alias("bit"))
     need = places.groupBy("key", "bits").agg(F.count(F.lit(1)).alias("need"))
     hits = places.join(filter_bits(table), ["bits", "bit"]).groupBy("key", "bits", "generation").agg(F.count(F.lit(1)).alias("hit"))
     maybe = hits.join(need, ["key", "bits"]).where("hit = need").groupBy("key").agg(F.count(F.lit(1)).alias("maybe"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, vectors
 from . import state
 
 
 def position(text: Column) -> Column:
-    return hashing.avalanche(hashing.fnv1a(text))
+    return vectors.position(text)
 
 
 def points(spark: SparkSession, nodes: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def points(spark: SparkSession, nodes: list[str]) -> DataFrame:
 def routed(keys: DataFrame, nodes: list[str], key: str = "key", node: str = "node") -> DataFrame:
     """keys with the node of each; null if there are no nodes.
 
-    The ring's points are a handful of constants, so that routing is one expression of the scan: no join, no shuffle.
+    The ring's points are a handful of constants, so that routing is a column of the scan: no join, no shuffle.
     """
     if not nodes:
         return keys.withColumn(node, F.lit(None).cast("string"))
@@ -36,7 +36,8 @@ def routed(keys: DataFrame, nodes: list[str], key: str = "key", node: str = "nod
             found = F.when(ahead, F.lit(name)) if found is None else found.when(ahead, F.lit(name))
         return found.otherwise(F.lit(ring[0][1]))
 
-    return keys.withColumn(node, hashing.let(position(F.col(key)), choose))
+    placed = keys.withColumn("_position", position(F.col(key)))
+    return placed.withColumn(node, choose(F.col("_position"))).drop("_position")
 
 
 def load(keys: DataFrame, nodes: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bloom, codec, hashing
+from ..functions import bloom, codec, hashing, vectors
 from ..operators import generations as gen
 from ..operators import ring, state, workload
 from ..sources import oplog
@@ -64,7 +64,7 @@ def record_sizes(log: DataFrame) -> DataFrame:
 
 def hash_fnv1a(log: DataFrame) -> DataFrame:
     key = F.col("key")
-    return log.select("key", hashing.digits(hashing.fnv1a(key)).alias("h1"), hashing.digits(hashing.fnv1a(key, hashing.SECOND_SEED)).alias("h2"))
+    return log.select("key", hashing.digits(vectors.fnv1a(key)).alias("h1"), hashing.digits(vectors.fnv1a(key, hashing.SECOND_SEED)).alias("h2"))
 
 
 def hash_avalanche(log: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def hash_avalanche(log: DataFrame) -> DataFrame:
 
 
 def bloom_probes(spark: SparkSession, d: str) -> DataFrame:
-    places = bloom.probes(F.col("key"), F.lit(FILTER_BITS))
+    places = vectors.probes(F.col("key"), F.lit(FILTER_BITS))
     return oplog.probes(spark, d).select("key", F.posexplode(places).alias("probe", "bit"))
 
 
@@ -84,9 +84,9 @@ def bloom_membership(spark: SparkSession, d: str) -> DataFrame:
     """A filter over the live keys, asked for every probe key."""
     held = state.live(oplog.events(spark, d)).select("key")
     bits = held.agg(bloom.size(F.count(F.lit(1))).alias("bits"))
-    places = held.crossJoin(F.broadcast(bits)).select(F.explode(bloom.probes(F.col("key"), F.col("bits"))).alias("bit")).distinct()
+    places = held.crossJoin(F.broadcast(bits)).select(F.explode(vectors.probes(F.col("key"), F.col("bits"))).alias("bit")).distinct()
     asked = oplog.probes(spark, d)
-    need = asked.crossJoin(F.broadcast(bits)).select("key", F.explode(F.array_distinct(bloom.probes(F.col("key"), F.col("bits")))).alias("bit"))
+    need = asked.crossJoin(F.broadcast(bits)).select("key", F.explode(F.array_distinct(vectors.probes(F.col("key"), F.col("bits")))).alias("bit"))
     hit = need.join(places.withColumn("is_set", F.lit(1)), "bit", "left").groupBy("key").agg(F.min(F.coalesce("is_set", F.lit(0))).alias("all_set"))
     return hit.join(held.withColumn("held", F.lit(True)), "key", "left").select("key", (F.col("all_set") == 1).alias("maybe"), F.coalesce("held", F.lit(False)).alias("present"))
 

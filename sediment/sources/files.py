@@ -15,6 +15,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 MAGIC = 0x53535442
 PUT, DELETE = 1, 2
 TABLE_ROWS = "generation long, op int, key binary, value binary, offset long"
@@ -37,6 +39,7 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_tables(records: DataFrame, folder: str, parts: int = 8) -> DataFrame:
     """One file for each generation of (generation, key, op, value); (generation, filename, bytes) as written."""
+    ship(records.sparkSession)
     rows = records.select("generation", F.col("key").cast("binary").alias("key"), "op", F.col("value").cast("binary").alias("value"))
     dealt = rows.repartition(parts, "generation").sortWithinPartitions("generation", "key")
     schema = pa.schema([("generation", pa.int64()), ("filename", pa.string()), ("bytes", pa.int64())])
@@ -116,6 +119,7 @@ def parse_log(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
 
 
 def _read(spark: SparkSession, folder: str, glob: str, parse, schema: str, number: str) -> DataFrame:
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     named = files.select(F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias(number), "content")
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators import state as ops
+from ..shipping import ship
 
 OUT = "shard string, seq long, generation long, closes boolean"
 STATE = "generation long, puts array<string>, gone array<string>"
@@ -20,6 +21,8 @@ STATE = "generation long, puts array<string>, gone array<string>"
 def numbered(log: DataFrame, threshold: int, shard: str) -> DataFrame:
     """OUT: each op's generation, and whether its flush closes it. Append mode."""
 
+    ship(log.sparkSession)
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         generation, puts, gone = held.get if held.exists else (0, [], [])
         puts, gone = set(puts), set(gone)

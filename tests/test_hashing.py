@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from sediment.functions import bloom, hashing
+from sediment.functions import bloom, hashing, vectors
 from sediment.operators import ring
 
 M = (1 << 64) - 1
@@ -31,7 +31,7 @@ def keys(spark):
 
 def test_hashes(keys):
     key = F.col("key")
-    rows = keys.select("key", hashing.digits(hashing.fnv1a(key)).alias("a"), hashing.digits(hashing.fnv1a(key, hashing.SECOND_SEED)).alias("b"), hashing.digits(ring.position(key)).alias("c")).collect()
+    rows = keys.select("key", hashing.digits(hashing.fnv1a(key)).alias("a"), hashing.digits(hashing.fnv1a(key, hashing.SECOND_SEED)).alias("b"), hashing.digits(hashing.avalanche(hashing.fnv1a(key))).alias("c")).collect()
     for r in rows:
         raw = r.key.encode()
         assert (int(r.a), int(r.b), int(r.c)) == (fnv(raw), fnv(raw, 0x9E3779B97F4A7C15), mix(fnv(raw)))
@@ -81,3 +81,16 @@ def test_node_lists(spark):
     specs = ["a:h:1,b:h:65537", "a:h:1,b", "a:h:x", "", "a:h:1,,"]
     got = ring.parse_nodes(spark.createDataFrame([(s,) for s in specs], "spec string")).collect()
     assert sorted((r.spec, r.n, r.node, r.host, r.port) for r in got) == [("a:h:1,,", 0, "a", "h", 1), ("a:h:1,b:h:65537", 0, "a", "h", 1), ("a:h:1,b:h:65537", 1, "b", "h", 1)]
+
+
+def test_vectors_agree_with_expressions(keys, spark):
+    key = F.col("key")
+    bits = F.lit(999983)
+    df = keys.unionByName(spark.createDataFrame([("x" * 5000,), ("",)], "key string")).repartition(2)
+    rows = df.select(
+        hashing.fnv1a(key).alias("a"), vectors.fnv1a(key).alias("b"),
+        hashing.fnv1a(key, hashing.SECOND_SEED).alias("c"), vectors.fnv1a(key, hashing.SECOND_SEED).alias("d"),
+        hashing.avalanche(hashing.fnv1a(key)).alias("e"), vectors.position(key).alias("f"),
+        bloom.probes(key, bits).alias("g"), vectors.probes(key, bits).alias("h"),
+    ).collect()
+    assert len(rows) == len(KEYS) + 2 and all((r.a, r.c, r.e, r.g) == (r.b, r.d, r.f, r.h) for r in rows)
