@@ -76,13 +76,15 @@ class Store:
         runs = generations.numbered(self.waiting(), self.threshold)
         if not force:
             runs = runs.where("flushed")
-        ends = runs.groupBy("generation").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+        ends = runs.groupBy("generation").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).persist()  # one row a run: the fold runs once for them
         rows = state.last_ops(runs, "generation").select((F.col("generation") + begin).alias("generation"), "key", F.col("op").cast("int").alias("op"), "value")
         if ends.isEmpty():
+            ends.unpersist()
             return
         rows.repartitionByRange(self.files, "generation", "key").sortWithinPartitions("generation", "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation").parquet(f"{self.folder}/generations")
         number = F.col("generation") + begin
         ends.select(number.alias("generation"), F.format_string("%06d.sst", number).alias("filename"), "first_seq", "last_seq").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        ends.unpersist()
 
     # reads
     def live(self) -> DataFrame:
