@@ -6,8 +6,9 @@ the first LEAST values or more (their longest common prefix) are candidates. Can
 overlap enough. Links give components, whose smallest doc_id stays.
 
 In an order, everything between two classes shares at least their common prefix. So neighbours join up groups of
-copies without all their pairs; what they leave apart in one region of an order is looked at again, pair by pair,
-where the region has few classes, and at a greater depth where it has many.
+copies without all their pairs; what they leave apart in one region of an order (the first LEAST values) is looked at
+again on full sets, every pair of classes that isn't of one component: a region of few classes in one block, a larger
+one cut into cells, with a block for any two of its cells that hold sets of sizes near enough to be linked.
 
 Nulls and odd rows: a text without words has an empty set and is linked with nothing (its component is its own
 doc_id); a text of fewer words has one shingle, all its words; a null doc_id never names a component (component_id
@@ -18,6 +19,8 @@ hashes of their words.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,7 +35,7 @@ HASHES = 64
 TREES, DEPTH, LEAST = 16, 8, 4
 #: Link if PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Regions of at most so many classes are looked at pair by pair; larger ones are cut at a greater depth.
+#: A block holds about so many classes; larger regions are cut into cells of half as many, compared two by two.
 REGION = 512
 _RNG = np.random.default_rng(2)
 _MULTIPLY = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,30 +200,104 @@ def overlapping(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shin
     return rows.mapInArrow(run, "u long, v long")
 
 
-def unsettled(orders: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(block, node, root), and the written tables that it reads: blocks of classes that share a region, but not all one component yet.
+def unsettled(orders: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, node, root, n) of the regions of up to REGION classes, and of the larger ones, that are not all one component yet.
 
-    A region of more than REGION classes is cut by the next value of its order, and so on to DEPTH; there, what is
-    still larger is cut by hash. Regions of two were settled as neighbours. Sizes come from aggregates and meet the rows in
-    joins, so that no region has to fit in one task.
+    Regions of two were settled as neighbours. Sizes come from aggregates and meet the rows in joins, so that no
+    region has to fit in one task. The first table is written.
     """
-    rows = orders.select("key", "node").distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    out, tables = None, []
-    for depth in range(LEAST, DEPTH + 1):
-        rows = rows.withColumn("block", F.substring("key", 1, 1 + 4 * depth))
-        sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
-        rows = common.written(rows.join(sizes.select("block", "n"), "block"), "regions")
-        tables.append(rows)
-        small = rows.where(F.col("n") <= REGION)
-        if depth == DEPTH:
-            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))
-            small = rows.withColumn("block", F.concat("block", F.when(F.col("n") > REGION, F.unhex(F.lpad(F.hex(part), 16, "0"))).otherwise(F.unhex(F.lit("")))))
-        small = small.select("block", "node", "root")
-        out = small if out is None else out.unionByName(small)
-        rows = rows.where(F.col("n") > REGION).select("key", "node", "root")
-        if rows.isEmpty():
-            break
-    return out, tables
+    rows = orders.select(F.substring("key", 1, REGION_BYTES).alias("region"), "node").distinct().join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
+    rows = common.written(rows.join(sizes.select("region", "n"), "region"), "regions")
+    return rows, rows.where(F.col("n") > REGION)
+
+
+def crossed(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(block, side, node, root): blocks that hold, between them, every pair of classes of a region that can still be linked.
+
+    Classes outside the region's largest component meet each other and that component's. Sets a link can join have
+    sizes in one level or in levels side by side (a level is a little wider than the ratio percent allows). Cells are
+    parts of a level by hash; each two cells that have to meet are a block, with the classes of one on side 0 and
+    of the other on side 1; a cell's own pairs are a block with no side 1.
+    """
+    spans = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) / 1.0001) if percent < 100 else F.col("n_shingles")
+    sized = rows.join(classes.select("node", spans.cast("long").alias("level")), "node")
+    tally = rows.groupBy("region", "root").count()
+    main = tally.groupBy("region").agg(F.max(F.struct("count", "root")).alias("m")).select("region", F.col("m.root").alias("main"))
+    sized = common.written(sized.join(main, "region").select("region", "node", "root", "level", (F.col("root") == F.col("main")).cast("int").alias("major")), "cells")
+    parts = sized.groupBy("region", "level", "major").agg(F.ceil(F.count(F.lit(1)) / (REGION // 2)).alias("parts"))
+    cells = parts.select("region", "level", "major", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    one = cells.where("major = 0").select("region", *[F.col(c).alias(f"{c}_0") for c in ("level", "major", "part")])
+    two = cells.select("region", *[F.col(c).alias(f"{c}_1") for c in ("level", "major", "part")])
+    meet = one.join(two, "region").where("abs(level_0 - level_1) <= 1 and (major_1 = 1 or level_0 < level_1 or level_0 = level_1 and part_0 <= part_1)")
+    meet = meet.withColumn("block", F.concat("region", *[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("level_0", "part_0", "level_1", "part_1", "major_1")]))
+    own = (F.col("major_1") == 0) & (F.col("level_0") == F.col("level_1")) & (F.col("part_0") == F.col("part_1"))
+    ends = meet.select("region", "block", F.lit(0).alias("side"), F.col("level_0").alias("level"), F.col("major_0").alias("major"), F.col("part_0").alias("part"))
+    ends = ends.unionByName(meet.where(~own).select("region", "block", F.lit(1).alias("side"), F.col("level_1").alias("level"), F.col("major_1").alias("major"), F.col("part_1").alias("part")))
+    placed = sized.join(parts, ["region", "level", "major"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    out = ends.join(placed, ["region", "level", "major", "part"]).select("block", "side", "node", "root")
+    out.place = sized.place
+    return out
+
+
+def cross_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, h: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between components that the full sets of one block show, side 0 against side 1, or side 0 in itself.
+
+    Overlaps are counted exactly: shingles that many hold by matrix products of 0 and 1, the others by their holders.
+    """
+    names, comp = np.unique(root, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.diff(first)
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    place = np.zeros(len(node), np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    _, at = np.unique(h, return_inverse=True)
+    owner = np.repeat(np.arange(len(node)), size)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+
+    def held(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        member = np.zeros(len(node), bool)
+        member[rows] = True
+        keep = member[owner]
+        return at[keep], place[owner[keep]], np.bincount(at[keep], minlength=int(at[-1]) + 1 if len(at) else 0)
+
+    (ida, pa_, na), (idb, pb, nb) = held(a), held(b)
+    both = np.zeros((len(a), len(b)), np.int64)
+    many = np.flatnonzero(na * nb > 64)
+    for k in range(0, len(many), 2048):
+        some = many[k : k + 2048]
+        mats = []
+        for ids, places, n in ((ida, pa_, len(a)), (idb, pb, len(b))):
+            x = np.searchsorted(some, ids)
+            hit = some[np.minimum(x, len(some) - 1)] == ids
+            m = np.zeros((n, len(some)), np.float32)
+            m[places[hit], x[hit]] = 1
+            mats.append(m)
+        both += np.rint(mats[0] @ mats[1].T).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(nb)])
+    few = (na[ida] * nb[ida] <= 64) & (nb[ida] > 0)
+    ids, left = ida[few], pa_[few]
+    if len(ids):
+        n = nb[ids]
+        right = pb[np.repeat(begin[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        both += np.bincount(np.repeat(left, n) * len(b) + right, minlength=len(a) * len(b)).reshape(len(a), len(b))
+    linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (comp[a][:, None] != comp[b][None, :])
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = find(int(comp[a[i]])), find(int(comp[b[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(node[a[i]]), int(node[b[j]])))
+    return out
 
 
 def block_links(node: np.ndarray, root: np.ndarray, h: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -259,9 +336,12 @@ def block_links(node: np.ndarray, root: np.ndarray, h: np.ndarray, first: np.nda
 
 
 def settled(blocks: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(u, v): links between components within blocks, from full sets. A block has at most about REGION texts."""
+    """(u, v): links between components within blocks, from full sets. A block has at most about REGION texts.
+
+    side: null for a block that is compared as a whole (block_links), else as cross_links has it.
+    """
     schema = common.fields("u long, v long")
-    rows = blocks.join(texts, "node").select("block", "node", "root", "text")
+    rows = blocks.join(texts, "node").select("block", "side", "node", "root", "text")
     dealt = rows.repartition(common.buckets(blocks.sparkSession), "block").sortWithinPartitions("block")
 
     def run(batches):
@@ -272,7 +352,8 @@ def settled(blocks: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
             h = np.concatenate([x for x, _ in parts])
             first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
             node, root = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("node", "root"))
-            links = block_links(node, root, h, first, percent)
+            side = np.concatenate([b.column("side").fill_null(-1).to_numpy() for b in held])
+            links = block_links(node, root, h, first, percent) if side[0] < 0 else cross_links(node, root, side, h, first, percent)
             return common.batch(schema, u=[u for u, _ in links], v=[v for _, v in links])
 
         for b in common.slices(batches, "text"):
@@ -303,7 +384,7 @@ def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, ro
     rows = common.written(signed(docs, shingle, row), "signed")
     # the smallest doc_id, its first row; nulls come last
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")
-    classes = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(who).alias("label"), F.first("signature").alias("signature")).select("node", "label", F.col("label.doc_id").alias("doc_id"), F.col("label.text_hash").alias("text_hash"), "signature"), "classes")
+    classes = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(who).alias("label"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")).select("node", "label", "n_shingles", F.col("label.doc_id").alias("doc_id"), F.col("label.text_hash").alias("text_hash"), "signature"), "classes")
     orders = common.written(forest(classes), "orders")
     extra = spark.createDataFrame(across(orders), "u long, v long")
     pairs = orders.where("other is not null").select(*ordered_pair(F.col("node"), F.col("other"))).unionByName(extra.select(*ordered_pair(F.col("u"), F.col("v")))).where("u <> v").distinct()
@@ -313,7 +394,9 @@ def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, ro
     whole = common.picked(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     texts = common.written(asked.join(whole, asked["doc_id"].eqNullSafe(whole["doc_id"]) & (asked["text_hash"] == whole["text_hash"])).select("node", "text").dropDuplicates(["node"]), "texts")
     roots = common.written(components(overlapping(pairs, texts, percent, shingle)), "roots")
-    blocks, regions = unsettled(orders, roots)
+    regions, large = unsettled(orders, roots)
+    cross = crossed(large, classes, percent)
+    blocks = regions.where(F.col("n") <= REGION).select(F.col("region").alias("block"), F.lit(None).cast("int").alias("side"), "node", "root").unionByName(cross)
     more = common.written(settled(blocks, texts, percent, shingle), "links")
     # the new links join components: whole components take the place of their classes
     up = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
@@ -321,7 +404,7 @@ def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, ro
     over = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")).join(over, "root", "left")
     named = common.written(named.select("node", "label", F.coalesce("top", "root").alias("root")), "named")
-    for t in (classes, orders, pairs, texts, roots, more, *regions):
+    for t in (classes, orders, pairs, texts, roots, more, regions, cross):
         common.drop(t)
     least = named.groupBy("root").agg(F.min("label").alias("least"))
     final = named.join(least, "root").select("node", "least")

@@ -95,6 +95,26 @@ def test_hot_group_of_near_copies(spark):
     assert {got[i] for i in range(600)} == {0} and all(got[1000 + i] == 1000 + i for i in range(300))
 
 
+def test_links_in_a_large_unlinked_region(spark):
+    """3000 texts on one template are not linked (overlap 0.76), but planted pairs among them are (0.87)."""
+    words = prose(9, 150).split(" ")
+
+    def filled(fields):
+        w = list(words)
+        for k, f in enumerate(fields):
+            w[20 + 36 * k] = f
+        return " ".join(w)
+
+    fields = [[f"f{i}x{k}" for k in range(4)] for i in range(3000)]
+    for i in range(0, 600, 2):
+        fields[i + 1][:2] = fields[i][:2]
+    rows = [(i, filled(f), "en", "s", 1) for i, f in enumerate(fields)]
+    a, b, c = (shingles(rows[i][1]) for i in (0, 1, 2))
+    assert 100 * len(a & b) >= 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c)
+    got = {r.doc_id: r.component_id for r in nd.near_dup(frame(spark, rows)).collect()}
+    assert got == {i: i - 1 if i < 600 and i % 2 else i for i in range(3000)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     r = random.Random(seed)
