@@ -11,7 +11,7 @@ from sediment.llm import common, language_id, mixing, near_dup, packing, quality
 STAGES = [
     ("quality rules", quality_rules.stage),
     ("language ID", language_id.stage),
-    ("MinHash near-dedup", near_dup.stage),
+    ("MinHash near-dedup", near_dup.pipeline_stage),
     ("mixing sources to target weights", mixing.stage),
     ("best-fit packing", packing.stage),
 ]

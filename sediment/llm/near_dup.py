@@ -33,8 +33,8 @@ from .components import components
 SHINGLE = 5
 HASHES = 64
 TREES, DEPTH, LEAST = 16, 8, 4
-#: Link if PERCENT * union <= 100 * intersection.
-PERCENT = 85
+#: Link if PERCENT * union <= 100 * intersection: op2's contract, and the pipeline's threshold.
+PERCENT, PIPELINE_PERCENT = 85, 80
 #: A block holds about so many classes; larger regions are cut into cells of half as many, compared two by two.
 REGION = 512
 _RNG = np.random.default_rng(2)
@@ -417,13 +417,18 @@ def op2_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_dup(common.table(spark, sf_dir, "documents"))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with all its columns."""
     name = common.unused(docs, "row_number")
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    judged = near_dup(numbered, row=name)
+    judged = near_dup(numbered, percent, row=name)
     gone = judged.where("row <> winner").select(F.col("row").alias(name))
     return numbered.join(gone, name, "left_anti").drop(name)
 
 
+def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage at the pipeline's own threshold."""
+    return stage(spark, docs, sf_dir, PIPELINE_PERCENT)
+
+
 QUERIES = {"op2_near_dup": op2_near_dup}

@@ -88,6 +88,26 @@ def test_stage_keeps_one_row_of_each_group(spark):
     assert got == expect
 
 
+def test_pipeline_drops_copies_from_080(spark):
+    """Pairs of 0.80 to under 0.85 go in the pipeline, those under 0.80 stay."""
+    from corpus_pipeline import STAGES
+
+    rows, gone, between = [], set(), 0
+    for k in range(40):
+        one = prose(3000 + k, 120).split(" ")
+        two = list(one)
+        for j in range(2 + k % 2):
+            two[20 + 30 * j] = f"other{j}"
+        rows += [(2 * k, " ".join(one), "en", "s", 1), (2 * k + 1, " ".join(two), "en", "s", 1)]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            gone.add(2 * k + 1)
+            between += 100 * len(a & b) < 85 * len(a | b)
+    assert between >= 15 and len(gone) < 40
+    kept = {r.doc_id for r in dict(STAGES)["MinHash near-dedup"](spark, frame(spark, rows), None).collect()}
+    assert kept == {r[0] for r in rows} - gone
+
+
 def test_hot_group_of_near_copies(spark):
     text = prose(9, 300)
     rows = [(i, edited(text, i, i % 4), "en", "s", 1) for i in range(600)] + [(1000 + i, prose(2000 + i, 50), "en", "s", 1) for i in range(300)]
