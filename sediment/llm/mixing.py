@@ -1,12 +1,17 @@
 """Mixing sources to target weights (operator 6): Pfair scheduling of blocks, earliest deadline first.
 
-Each source's documents, in the order of a hash of doc_id, are cut into blocks. Target weights are rounded to whole
-shares of a period of PERIOD slots, so that the shares add up to the period. A source with share a out of P gets its
-j-th block (from 1) released at slot floor((j - 1) P / a), with the deadline ceil(j P / a); each slot goes to the
-released block of the earliest deadline (ties: the source that sorts first). As the shares fill the period, every
-deadline is met: at any slot, a source has had less than one block more or fewer than its weight times the slot's
-number. The schedule repeats after one period, so the driver works out PERIOD slots, whatever the corpus holds, and
-each document finds its slots from its rank in its source.
+Each source's documents, in the order of a hash of doc_id, are cut into blocks. A source of weight w gets its j-th
+block (from 1) released at slot floor((j - 1) / w), with the deadline ceil(j / w); each slot goes to the released
+block of the earliest deadline (ties: the source that sorts first). As the weights add up to one, every deadline is
+met: at any slot, a source has had less than one block more or fewer than its weight times the slot's number.
+Weights are counted in whole parts of WHOLE, so that the arithmetic is exact; their rounding is under a millionth of
+a block over 10^9 slots of 1000 sources. The driver works out every slot of the mix, with eight bytes for each.
+A mix so short that rounding the weights to whole shares of PERIOD slots adds up to less than a block by its end is
+scheduled by those (less than two blocks off the weights).
+
+The query op6 has its schedule from its SQL: weights are rounded to whole shares of a period of PERIOD slots, one at
+least, and the schedule repeats after one period. It holds the same bound against the rounded shares, not against
+the weights themselves.
 
 Nothing is dropped: the mix ends when every source's blocks have all come once; a source that its weight brings in
 faster begins again from its first block (epoch 1, 2, ...). A block holds `block` documents (a source's last block may
@@ -21,13 +26,17 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-PERIOD = 1000
+#: op6's period, as its SQL has it; and that of a mix over its whole length, whose rounding never adds up to a block.
+PERIOD, WHOLE = 1000, 1 << 60
 BLOCK = 8
 
 
@@ -67,11 +76,43 @@ def schedule(share: list[int]) -> list[int]:
     return out
 
 
+def whole(share: list[int], blocks: list[int]) -> list[array]:
+    """The slots of each source's blocks, in order, until every source has had all its blocks once."""
+    period, left, slot = sum(share), sum(b > 0 for b in blocks), 0
+    waiting = [(0, i, 1) for i in range(len(share))]  # release, source, block
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    out = [array("q") for _ in share]
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-j * period // share[i]), i, j))
+        _, i, j = heapq.heappop(ready)
+        out[i].append(slot)
+        left -= j == blocks[i]
+        heapq.heappush(waiting, (j * period // share[i], i, j + 1))
+        slot += 1
+    return out
+
+
+def repeated(share: list[int], blocks: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Each source's slots in one period, and how many blocks it has had when every source's have all come once."""
+    period = sum(share)
+    slots: list[list[int]] = [[] for _ in share]
+    for slot, i in enumerate(schedule(share)):
+        slots[i].append(slot)
+    end = max((b - 1) // share[i] * period + slots[i][(b - 1) % share[i]] for i, b in enumerate(blocks)) + 1
+    return slots, [end // period * share[i] + sum(s < end % period for s in slots[i]) for i in range(len(share))]
+
+
 MIXED = ("doc", "source", "epoch", "slot", "place")
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """MIXED: a row for each use of a document; doc holds all its columns, place is its place within the slot."""
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
+    """MIXED: a row for each use of a document; doc holds all its columns, place is its place within the slot.
+
+    period: slots after which the schedule repeats, with weights rounded to it; without one, weights hold over the whole mix
+    (the schedule repeats after PERIOD slots where their rounding adds up to less than a block up to the mix's end).
+    """
     spark = docs.sparkSession
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
@@ -85,30 +126,31 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
         raise ValueError(f"no target weight for {missing}")
     if not names:
         return keyed.select("doc", "source", F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("place"))
-    share = shares([targets[k] for k in given], max(period, len(names)))
-    period = sum(share)
-    slots: list[list[int]] = [[] for _ in names]
-    for slot, i in enumerate(schedule(share)):
-        slots[i].append(slot)
-
-    def slot_of(i: int, j: int) -> int:
-        return j // share[i] * period + slots[i][j % share[i]]
-
     blocks = [-(-counts[k] // block) for k in names]
-    end = max(slot_of(i, blocks[i] - 1) for i in range(len(names))) + 1
-    uses = [end // period * share[i] + sum(s < end % period for s in slots[i]) for i in range(len(names))]
-    sources = spark.createDataFrame([(k, share[i], blocks[i], uses[i]) for i, k in enumerate(names)], "name string, share long, blocks long, uses long")
-    table = spark.createDataFrame([(k, n, s) for i, k in enumerate(names) for n, s in enumerate(slots[i])], "name string, nth long, at long")
-    rows = common.ranked(keyed, ["name"], "bucket", ["hash", "doc_id"], "rank").join(sources, "name")
-    cut = rows.withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
+    wanted = [targets[k] for k in given]
+    share = shares(wanted, max(period or PERIOD, len(names)))
+    slots, uses = repeated(share, blocks)
+    exact = period is None and max(abs(a / sum(share) - w / math.fsum(wanted)) for a, w in zip(share, wanted, strict=True)) * sum(uses) >= 1
+    rows = common.ranked(keyed, ["name"], "bucket", ["hash", "doc_id"], "rank")
+    if exact:
+        share = shares(wanted, WHOLE)
+        slots = whole(share, blocks)
+        uses = [len(s) for s in slots]
+        nth, at = F.col("j"), F.col("at")
+    else:
+        nth, at = F.col("j") % F.col("share"), F.floor(F.col("j") / F.col("share")) * sum(share) + F.col("at")
+    sources = spark.createDataFrame([(k, i, share[i], blocks[i], uses[i]) for i, k in enumerate(names)], "name string, i long, share long, blocks long, uses long")
+    n = [len(s) for s in slots]
+    table = spark.createDataFrame(pa.table({"i": np.repeat(np.arange(len(n)), n), "nth": np.concatenate([np.arange(k) for k in n]), "at": np.concatenate([np.asarray(s, np.int64) for s in slots])}))
+    cut = rows.join(sources, "name").withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
     used = cut.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("uses") - 1 - F.col("block")) / F.col("blocks")))))
-    turn = used.withColumn("j", F.col("block") + F.col("epoch") * F.col("blocks")).withColumn("nth", F.col("j") % F.col("share"))
-    return turn.join(table, ["name", "nth"]).select("doc", "source", "epoch", (F.floor(F.col("j") / F.col("share")) * period + F.col("at")).alias("slot"), "place")
+    turn = used.withColumn("j", F.col("block") + F.col("epoch") * F.col("blocks")).withColumn("nth", nth)
+    return turn.join(table, ["i", "nth"]).select("doc", "source", "epoch", at.alias("slot"), "place")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.picked(common.table(spark, sf_dir, "documents"), doc_id="long", source="string")
-    return mixed(docs).select("doc.doc_id", "source", "epoch", "slot", "place")
+    return mixed(docs, period=PERIOD).select("doc.doc_id", "source", "epoch", "slot", "place")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

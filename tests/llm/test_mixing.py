@@ -61,6 +61,23 @@ def test_given_weights(spark):
         m.mixed(frame(spark, data), {"a": 1.0, "b": 0.0})
 
 
+@pytest.mark.parametrize(("sources", "slots"), [(20, 20_000), (1200, 5_000)])
+def test_mix_holds_the_true_weights(spark, sources, slots):
+    """Less than one block off the target weights themselves (up to their rounding) at every slot, past any period."""
+    w = [1 + 3 * (i == 0) + i % 7 / 9 for i in range(sources)]
+    w = [x / math.fsum(w) for x in w]
+    data = [(i, "t", "en", f"s{k:04}", 1) for i, k in enumerate([0] * math.ceil(w[0] * slots) + list(range(1, sources)))]
+    got = m.mixed(frame(spark, data).select("doc_id", "source"), {f"s{k:04}": x for k, x in enumerate(w)}, block=1).select("source", "slot").collect()
+    order = [s for _, s in sorted((r.slot, r.source) for r in got)]
+    assert len(order) >= slots - 2 * sources and sorted(r.slot for r in got) == list(range(len(order)))
+    done = Counter()
+    for slot, s in enumerate(order):
+        before = done[s]
+        done[s] += 1
+        k = int(s[1:])
+        assert abs(before - slot * w[k]) < 1 + 1e-6 and abs(done[s] - (slot + 1) * w[k]) < 1 + 1e-6
+
+
 def test_stage_keeps_columns_and_every_document(spark):
     docs = frame(spark, rows()).withColumn("slot", F.lit("clash"))
     got = m.stage(spark, docs, None)
