@@ -69,3 +69,134 @@ def test_rows(spark):
     assert sum(g[0] == 3 for g in got) == 2 and all(g[3] == len(g[2]) for g in got)
     assert html_text(df.limit(0)).count() == 0
     assert re.match("Title", [g[2] for g in got if g[0] == 3][0])
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+def unnamed(r):
+    """A page whose names tell nothing: only link share and characters per tag can find the article."""
+    name = lambda: f"class='{''.join(r.choice('qxzk') for _ in range(4))}{r.randint(1, 99)}'"
+    title, paras = prose(r, 6), [prose(r, r.randint(40, 90)) for _ in range(r.randint(3, 8))]
+    menu = lambda: f"<div {name()}>" + "".join(f"<div><a href='/{i}'>{prose(r, 2)}</a></div>" for i in range(r.randint(5, 20))) + "</div>"
+    text = f"<div {name()}>" + "".join(f"<p>{p}</p>" for p in paras) + "</div>"
+    body = f"<div {name()}>{menu()}</div><div {name()}><h1>{title}</h1>{text}</div><div {name()}>{menu()}<div>{prose(r, 1)} <a href=x>{prose(r, 2)}</a></div></div>"
+    return f"<html><body>{body}</body></html>", "\n".join([title, *paras])
+
+
+def test_density_decides_without_names(monkeypatch):
+    from sediment.llm import html_text as module
+
+    pages = [unnamed(random.Random(seed)) for seed in range(80)]
+    assert [main_text(p) for p, _ in pages] == [t for _, t in pages]
+    body = lambda page, d: (0, 0.0, [page.tag.index("body")])
+    monkeypatch.setattr(module, "chosen", body)
+    assert all(main_text(p) != t for p, t in pages)
+
+
+def test_threshold_joins_blocks_beside_the_heart():
+    r = random.Random(3)
+    one, two, three, side = [prose(r, 60) for _ in range(4)], prose(r, 80), [prose(r, 60) for _ in range(2)], prose(r, 2)
+    block = lambda ps: "<div>" + "".join(f"<p>{p}</p>" for p in ps) + "</div>"
+    page = f"<body><div><div><i>{side}</i></div>{block(one)}<h2>Between</h2>{block([two])}<div><a href=x>{side}</a> {side}</div>{block(three)}</div></body>"
+    got = main_text(page).split("\n")
+    assert [x for x in got if x not in ("Between", side, f"{side} {side}")] == [*one, two, *three] and "Between" in got
+
+
+def brute(source):
+    """Density and density sum of every element by their definition, over a parsed tree of well-formed markup."""
+    import math
+    from xml.etree import ElementTree
+
+    from sediment.llm.html_text import BLOCK
+
+    root = ElementTree.fromstring(source)
+    size = lambda t: len(" ".join((t or "").split()))
+
+    def pieces(e, link):
+        """(text, under a link) of the element's subtree."""
+        link = link or e.tag == "a"
+        yield e.text, link
+        for c in e:
+            yield from pieces(c, link)
+            yield c.tail, link
+
+    every = list(pieces(root, False))
+    ratio = sum(size(t) for t, a in every if a) / max(sum(size(t) for t, _ in every), 1)
+
+    def density(texts, tags, link_tags):
+        c, lc = sum(size(t) for t, _ in texts), sum(size(t) for t, a in texts if a)
+        if not c:
+            return 0.0
+        base = max(math.e, math.log(c / max(c - lc, 1) * lc + ratio * c + math.e))
+        return c / tags * max(0.0, math.log(c / max(lc, 1) * tags / max(link_tags, 1))) / math.log(base)
+
+    def run(e, link):
+        """What of a block lies in no block inside it: texts, tags, link tags."""
+        link = link or e.tag == "a"
+        texts, tags, links = [(e.text, link)], 0, 0
+        for c in e:
+            if c.tag not in BLOCK:
+                more = run(c, link)
+                texts, tags, links = texts + more[0], tags + 1 + more[1], links + (c.tag == "a") + more[2]
+            texts.append((c.tail, link))
+        return texts, tags, links
+
+    def blocks(e):
+        for c in e:
+            if c.tag in BLOCK:
+                yield c
+            else:
+                yield from blocks(c)
+
+    out = []
+    for e in root.iter():
+        d = density(list(pieces(e, False)), sum(1 for _ in e.iter()), sum(x.tag == "a" for x in e.iter()))
+        texts, tags, links = run(e, False)
+        s = 0.0
+        if e.tag in BLOCK:
+            s = density(texts, 1 + tags, links) + sum(density(list(pieces(c, False)), sum(1 for _ in c.iter()), sum(x.tag == "a" for x in c.iter())) for c in blocks(e))
+        out.append((e.tag, round(d, 6), round(s, 6)))
+    return out
+
+
+def test_densities_by_definition():
+    from sediment.llm.html_text import Page, densities
+
+    def tree(r, depth):
+        out = []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if kind < 0.35 or depth > 4:
+                out.append(prose(r, r.randint(1, 12)))
+            elif kind < 0.5:
+                out.append(f"<a>{prose(r, 2)}</a>")
+            elif kind < 0.65:
+                out.append(f"<b>{prose(r, 2)}<a>{prose(r, 1)}</a></b>")
+            else:
+                out.append(f"<div>{tree(r, depth + 1)}</div>")
+        return " ".join(out)
+
+    for seed in range(60):
+        source = f"<body>{tree(random.Random(seed), 0)}</body>"
+        page = Page(source)
+        d = densities(page)
+        assert [(t, round(x, 6), round(s, 6)) for t, x, s in zip(page.tag, d.density, d.sums, strict=True)][1:] == brute(source), seed
+
+
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ('<section class="social-science"><h2>Studies</h2><p>Of people and of towns.</p></section>', "Studies\nOf people and of towns."),
+        ("<h2>Sources</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>", "Sources\nFirst source\nSecond source"),
+        ("<p><a href=a>One link</a> and <a href=b>another link</a></p>", "One link and another link"),
+        ("<p>a <svg/> b</p><p>c</p>", "a b\nc"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+        ('<div class="ad">Buy this</div><div class="share-buttons"><a href=x>Share</a></div><div id="comments"><p>Nice one, thanks for this.</p></div>', ""),
+    ],
+)
+def test_what_an_article_keeps(inner, kept):
+    text = "A paragraph that is long enough to be the heart of its article, whatever else stands there."
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{text}</p>{inner}<p>{text}</p></article><footer>foot</footer></body>"
+    assert main_text(page) == "\n".join(x for x in ["Title", text, kept, text] if x)
