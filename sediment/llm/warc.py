@@ -4,11 +4,17 @@ Records are grouped into independent Zstandard frames of about FRAME_BYTES; a se
 each frame's compressed and plain size) ends each archive, so that any frame can be read alone and any Zstandard
 reader can read the whole. The index maps each record to its archive, frame, and offset within the frame.
 
-Equal payloads are found by SHA-1 in Spark: the least page_id of each digest is a partially aggregated minimum, and
-rows meet it in one join on the digest, which Spark can split where one payload fills a third of the table. Each task
-writes one archive under a name of its own attempt; only archives that the index names count, so a lost or repeated
+Equal payloads are found by SHA-1 in Spark: the least page_id of each digest is a partially aggregated minimum. Only
+payloads that may occur twice are shuffled: digests that occur once are told apart by a bitmap of PREFIX_BITS bits of
+those that repeat (a set bit may be chance; then the join decides), and digests that fill a thousandth of the
+repeated rows or more, so at most a thousand, are known to every task and need no join. Each task
+writes archives under names of its own attempt; only archives that the index names count, so a lost or repeated
 task leaves nothing wrong behind.
 
+Reading deals runs of RUN frames over all tasks. A frame is found by its archive's seek table, and each record by its
+offset within the frame, as the index has it: any selection of the index's rows can be read, and nothing besides
+their frames is.
+
 Nulls and odd rows: a null html is an empty payload; a null url is left out of the record; a null page_id is written
 as such, never named as the page that others revisit, and revisits a named page of equal payload; if rows repeat the
 least page_id of a payload, each of them is a response; an empty table gives no archive and no rows; extra columns are
@@ -23,6 +29,7 @@ import re
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
@@ -40,6 +47,11 @@ ARCHIVE_BYTES = 256 << 20
 LEVEL = 3
 #: Payloads of fewer bytes are never revisited.
 LEAST_BYTES = 0
+#: Frames that are read by one task together: neighbours in an archive, about 4 MB plain.
+RUN = 16
+#: Size of the bitmap of repeated digests; with many more of them than bits, all rows are joined.
+PREFIX_BITS = 24
+HOT_SHARE = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -127,6 +139,16 @@ class Writer:
         self.stream.close()
 
 
+def bitmap(digests: DataFrame) -> np.ndarray:
+    """A bit for each prefix of PREFIX_BITS bits that a digest has: that many bits, and so many / 64 rows to the driver at most."""
+    prefix = F.conv(F.substring("digest", 1, PREFIX_BITS // 4), 16, 10).cast("long")
+    cells = digests.select(F.shiftright(prefix, 6).alias("cell"), F.expr("shiftleft(1L, cast(pmod(conv(substring(digest, 1, " + str(PREFIX_BITS // 4) + "), 16, 10), 64) as int))").alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << PREFIX_BITS - 6, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
 INDEX = "page_id long, archive string, frame int, offset long, length long"
 
 
@@ -136,9 +158,21 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     common.ship(spark)
     rows = common.picked(pages, page_id="long", url="string", html="string").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).drop("html")
     rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    same = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least_bytes)
-    judged = rows.join(first, "digest").select("page_id", "url", "payload", "digest", F.when(same, F.col("first")).alias("refers_to"), same.alias("revisit"))
+    again = common.written(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null"), "warc-digests")
+    total = again.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = {r["digest"]: r["first"] for r in again.where(F.col("n") * HOT_SHARE >= total).collect()}
+    cold = again.where(F.col("n") * HOT_SHARE < total).select("digest", "first")
+    known = spark.sparkContext.broadcast((hot, bitmap(cold)))
+
+    @F.arrow_udf("boolean")
+    def may_repeat(digest: pa.Array) -> pa.Array:
+        hot, bits = known.value
+        at = np.array([int(d[: PREFIX_BITS // 4], 16) for d in digest.to_pylist()], np.int64)
+        return pa.array([x and d not in hot for x, d in zip((bits[at >> 3] >> (at & 7) & 1).astype(bool).tolist(), digest.to_pylist(), strict=True)], pa.bool_())
+
+    told = rows.withColumn("again", may_repeat("digest"))
+    alone = told.where("not again").select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("first"))
+    judged = alone.unionByName(told.where("again").join(cold, "digest", "left").select("page_id", "url", "payload", "digest", "first"))
     schema = common.fields(INDEX)
 
     def run(batches):
@@ -146,13 +180,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         out, n, name = None, 0, ""
+        hot = known.value[0]
         for b in common.slices(batches, "payload"):
             cols = {f.name: [] for f in schema}
-            for page_id, url, payload, digest, refers_to, revisit in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "refers_to", "revisit")), strict=True):
+            for page_id, url, payload, digest, first in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "first")), strict=True):
                 if out is None:
                     name = f"{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
                     out, n = Writer(fs, f"{root}/{name}"), n + 1
-                raw = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, revisit)
+                first = hot.get(digest, first)
+                revisit = first is not None and page_id != first and len(payload) >= least_bytes
+                raw = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first if revisit else None, revisit)
                 frame, offset = out.add(raw)
                 for k, v in zip(cols, (page_id, name, frame, offset, len(raw)), strict=True):
                     cols[k].append(v)
@@ -182,12 +219,16 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 
 def read_archives(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """RECORD (and payload, null for revisits) of every record of the archives that an index names.
+    """RECORD (and payload, null for revisits) of every record that rows of an index name.
 
-    Frames are read alone, by the seek table; a response whose payload doesn't have its digest is an error.
+    Frames are read alone, by the seek table, and records at the index's offsets; another record there, or a response
+    whose payload doesn't have its digest, is an error.
     """
     spark = index.sparkSession
-    frames = index.select("archive", "frame").distinct().repartition(common.buckets(spark), "archive", "frame").sortWithinPartitions("archive", "frame")
+    common.ship(spark)
+    # a frame holds about FRAME_BYTES, or one record
+    frames = index.groupBy("archive", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "page_id"))).alias("at")).withColumn("run", F.floor(F.col("frame") / RUN))
+    dealt = frames.repartition(common.buckets(spark), "archive", "run").sortWithinPartitions("archive", "frame")
     out = RECORD + (", payload binary" if with_payload else "")
     schema = common.fields(out)
 
@@ -196,28 +237,36 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = False) ->
         name, file, table = None, None, []
         plain = zstandard.ZstdDecompressor()
         for b in batches:
-            for archive, frame in zip(b.column("archive").to_pylist(), b.column("frame").to_pylist(), strict=True):
+            for archive, frame, wanted in zip(b.column("archive").to_pylist(), b.column("frame").to_pylist(), b.column("at").to_pylist(), strict=True):
                 if archive != name:
                     name, file = archive, fs.open_input_file(f"{root}/{archive}")
                     table = read_seek_table(file)
                 start, packed, size = table[frame]
                 raw = plain.decompress(file.read_at(packed, start), max_output_size=size)
-                cols, at = {f.name: [] for f in schema}, 0
-                while at < len(raw):
-                    head, block, following = parsed(raw, at)
+                cols = {f.name: [] for f in schema}
+                for w in wanted:
+                    at = w["offset"]
+                    head, block, _ = parsed(raw, at)
                     http, payload = block.split(b"\r\n\r\n", 1)
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    kind = head["WARC-Type"]
+                    kind, page_id = head["WARC-Type"], page_of(head["WARC-Record-ID"])
+                    if page_id != w["page_id"]:
+                        raise ValueError(f"{archive}, frame {frame}, offset {at}: not the record that the index names")
                     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"{archive}, frame {frame}, offset {at}: the payload isn't what was written")
-                    row = [page_of(head["WARC-Record-ID"]), size, digest, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, head.get("WARC-Target-URI"), archive, frame, at]
+                    row = [page_id, size, digest, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, head.get("WARC-Target-URI"), archive, frame, at]
                     for k, v in zip(cols, row + ([payload if kind == "response" else None] if with_payload else []), strict=True):
                         cols[k].append(v)
-                    at = following
                 yield common.batch(schema, **cols)
 
-    return frames.mapInArrow(run, out)
+    return dealt.mapInArrow(run, out)
+
+
+def lookup(index: DataFrame, folder: str, asked: DataFrame, with_payload: bool = True) -> DataFrame:
+    """RECORD (and payload) of the pages that asked (page_id) names: only the frames that hold them are read."""
+    ids = asked.select(F.col("page_id").cast("long").alias("page_id")).distinct()
+    return read_archives(index.join(ids, "page_id", "left_semi"), folder, with_payload)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -61,6 +61,37 @@ def test_archives_are_plain_zstandard_and_seekable(spark):
             assert warc.page_of(head["WARC-Record-ID"]) == r.page_id and end == r.offset + r.length
 
 
+def test_frames_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN", 2)
+    data = [(i, "u", f"{i} " + "".join(chr(97 + (i * k * k) % 26) for k in range(30_000))) for i in range(400)]
+    folder = common.shared_path(spark, "warc-test")
+    index = warc.write_archives(spark.createDataFrame(data, SCHEMA).repartition(2), folder)
+    back = warc.read_archives(index, folder)
+    assert back.count() == 400
+    tasks = back.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == common.buckets(spark) and back.select("archive", "frame").distinct().count() > 40
+
+
+def test_lookup_by_record(spark):
+    folder = common.shared_path(spark, "warc-test")
+    index = warc.write_archives(spark.createDataFrame(rows(), SCHEMA), folder)
+    asked = spark.createDataFrame([(9,), (105,), (3,), (12345,), (None,)], "page_id long")
+    got = Counter((r.page_id, r.record_type, r.payload and bytes(r.payload)) for r in warc.lookup(index, folder, asked).collect())
+    html = {i: h for i, _, h in rows()}
+    assert got == Counter({(9, "revisit", None): 1, (105, "response", html[105].encode()): 1, (3, "response", html[3].encode()): 2})
+
+
+def test_repeated_payloads_hot_and_cold(spark, monkeypatch):
+    """Payloads over and under the share that tasks know without a join, and digests told apart by few bits."""
+    data = [(i, "u", "hot" if i % 3 == 0 else f"cold {i // 2 % 500}" if i % 3 == 1 else f"once {i}") for i in range(3000)]
+    for share, bits in ((1000, 24), (1, 24), (2, 8), (10**9, 24)):
+        monkeypatch.setattr(warc, "HOT_SHARE", share)
+        monkeypatch.setattr(warc, "PREFIX_BITS", bits)
+        folder = common.shared_path(spark, "warc-test")
+        back = warc.read_archives(warc.write_archives(spark.createDataFrame(data, SCHEMA), folder), folder).collect()
+        assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == brute(data)
+
+
 def test_empty_table(spark):
     folder = common.shared_path(spark, "warc-test")
     index = warc.write_archives(spark.createDataFrame([], SCHEMA), folder)
