@@ -1,21 +1,18 @@
 """Mixing sources to target weights (operator 6): Pfair scheduling of blocks, earliest deadline first.
 
-Each source's documents, in the order of a hash of doc_id, are cut into blocks. A source of weight w gets its j-th
-block (from 1) released at slot floor((j - 1) / w), with the deadline ceil(j / w); each slot goes to the released
-block of the earliest deadline (ties: the source that sorts first). As the weights add up to one, every deadline is
-met: at any slot, a source has had less than one block more or fewer than its weight times the slot's number.
-Weights are counted in whole parts of WHOLE, so that the arithmetic is exact; their rounding is under a millionth of
-a block over 10^9 slots of 1000 sources. The driver works out every slot of the mix, with eight bytes for each.
-A mix so short that rounding the weights to whole shares of PERIOD slots adds up to less than a block by its end is
-scheduled by those (less than two blocks off the weights).
-
-The query op6 has its schedule from its SQL: weights are rounded to whole shares of a period of PERIOD slots, one at
-least, and the schedule repeats after one period. It holds the same bound against the rounded shares, not against
-the weights themselves.
-
-Nothing is dropped: the mix ends when every source's blocks have all come once; a source that its weight brings in
-faster begins again from its first block (epoch 1, 2, ...). A block holds `block` documents (a source's last block may
-hold fewer).
+Each source is the endless repetition of its documents in the order of a hash of doc_id, cut into blocks of `block`
+documents; a use of a document in the n-th repetition is epoch n. A source of weight w gets its j-th block (from 1)
+released at slot floor((j - 1) / w), with the deadline ceil(j / w); each slot goes to the released block of the
+earliest deadline (ties: the source that sorts first). As the weights add up to one, every deadline is met: at any
+slot, a source has had less than one block more or fewer than its weight times the slot's number. Weights are exact
+fractions (a floating point number is one), so nothing is rounded, however long the mix or small a weight.
+
+Nothing is dropped: the mix ends when every document has come once; a source that its weight brings in faster goes on
+from its first document.
+
+The schedule is worked out on the driver and has a number for each slot. So that this is bounded, a block holds
+BLOCK documents, or more where there would be over MOST_BLOCKS blocks otherwise: the mix of a larger corpus is as fine
+in proportion. (Weights much smaller than a source's size make a mix that much longer than the corpus.)
 
 Nulls and odd rows: a null source is a source of its own, which sorts first; a null doc_id comes first in its source;
 repeated rows are mixed each by itself; an empty table gives no rows; extra columns are ignored. Sources given no
@@ -27,6 +24,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,49 +33,27 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: op6's period, as its SQL has it; and that of a mix over its whole length, whose rounding never adds up to a block.
-PERIOD, WHOLE = 1000, 1 << 60
-BLOCK = 8
+BLOCK, MOST_BLOCKS = 8, 1 << 20
 
 
 def tempered(counts: dict[str | None, int]) -> dict[str | None, float]:
-    """Weights as the power 3/4 of the sources' sizes: small sources come up, large ones go down."""
-    return {k: n / math.sqrt(math.sqrt(n)) for k, n in counts.items()}
+    """Weights as the power 3/4 of the sources' sizes, in whole millionths: small sources come up, large ones go down."""
+    return {k: math.floor(1e6 * n / math.sqrt(math.sqrt(n))) for k, n in counts.items()}
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Whole shares of the period, one at least: the rest by weight, by largest remainder (ties: the first)."""
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
     if any(not (w > 0 and math.isfinite(w)) for w in weights):
         raise ValueError("target weights must be positive numbers")
-    rest = period - len(weights)
-    total = math.fsum(weights)
-    exact = [rest * w / total for w in weights]
-    out = [1 + math.floor(x) for x in exact]
-    by_rest = sorted(range(len(weights)), key=lambda i: (-(exact[i] - math.floor(exact[i])), i))
-    for i in by_rest[: period - sum(out)]:
-        out[i] += 1
-    return out
-
-
-def schedule(share: list[int]) -> list[int]:
-    """The source of each slot of one period."""
-    period = sum(share)
-    waiting = [(0, i, 1) for i in range(len(share))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // share[i]), i, j))
-        _, i, j = heapq.heappop(ready)
-        out.append(i)
-        heapq.heappush(waiting, (j * period // share[i], i, j + 1))
-    return out
+    parts = [Fraction(w) for w in weights]
+    scale = math.lcm(*[f.denominator for f in parts])
+    whole = [int(f * scale) for f in parts]
+    common_part = math.gcd(*whole)
+    return [w // common_part for w in whole]
 
 
-def whole(share: list[int], blocks: list[int]) -> list[array]:
-    """The slots of each source's blocks, in order, until every source has had all its blocks once."""
+def schedule(share: list[int], blocks: list[int]) -> list[array]:
+    """The slots of each source's blocks, in order, until every source has had that many blocks."""
     period, left, slot = sum(share), sum(b > 0 for b in blocks), 0
     waiting = [(0, i, 1) for i in range(len(share))]  # release, source, block
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
@@ -94,25 +70,11 @@ def whole(share: list[int], blocks: list[int]) -> list[array]:
     return out
 
 
-def repeated(share: list[int], blocks: list[int]) -> tuple[list[list[int]], list[int]]:
-    """Each source's slots in one period, and how many blocks it has had when every source's have all come once."""
-    period = sum(share)
-    slots: list[list[int]] = [[] for _ in share]
-    for slot, i in enumerate(schedule(share)):
-        slots[i].append(slot)
-    end = max((b - 1) // share[i] * period + slots[i][(b - 1) % share[i]] for i, b in enumerate(blocks)) + 1
-    return slots, [end // period * share[i] + sum(s < end % period for s in slots[i]) for i in range(len(share))]
-
-
 MIXED = ("doc", "source", "epoch", "slot", "place")
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
-    """MIXED: a row for each use of a document; doc holds all its columns, place is its place within the slot.
-
-    period: slots after which the schedule repeats, with weights rounded to it; without one, weights hold over the whole mix
-    (the schedule repeats after PERIOD slots where their rounding adds up to less than a block up to the mix's end).
-    """
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """MIXED: a row for each use of a document; doc holds all its columns, place is its place within the slot."""
     spark = docs.sparkSession
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
@@ -126,35 +88,25 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
         raise ValueError(f"no target weight for {missing}")
     if not names:
         return keyed.select("doc", "source", F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("place"))
-    blocks = [-(-counts[k] // block) for k in names]
-    wanted = [targets[k] for k in given]
-    share = shares(wanted, max(period or PERIOD, len(names)))
-    slots, uses = repeated(share, blocks)
-    exact = period is None and max(abs(a / sum(share) - w / math.fsum(wanted)) for a, w in zip(share, wanted, strict=True)) * sum(uses) >= 1
-    rows = common.ranked(keyed, ["name"], "bucket", ["hash", "doc_id"], "rank")
-    if exact:
-        share = shares(wanted, WHOLE)
-        slots = whole(share, blocks)
-        uses = [len(s) for s in slots]
-        nth, at = F.col("j"), F.col("at")
-    else:
-        nth, at = F.col("j") % F.col("share"), F.floor(F.col("j") / F.col("share")) * sum(share) + F.col("at")
-    sources = spark.createDataFrame([(k, i, share[i], blocks[i], uses[i]) for i, k in enumerate(names)], "name string, i long, share long, blocks long, uses long")
+    block = max(block, -(-sum(counts.values()) // most_blocks))
+    slots = schedule(exact([targets[k] for k in given]), [-(-counts[k] // block) for k in names])
     n = [len(s) for s in slots]
-    table = spark.createDataFrame(pa.table({"i": np.repeat(np.arange(len(n)), n), "nth": np.concatenate([np.arange(k) for k in n]), "at": np.concatenate([np.asarray(s, np.int64) for s in slots])}))
-    cut = rows.join(sources, "name").withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", (F.col("rank") % block).cast("int"))
-    used = cut.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("uses") - 1 - F.col("block")) / F.col("blocks")))))
-    turn = used.withColumn("j", F.col("block") + F.col("epoch") * F.col("blocks")).withColumn("nth", nth)
-    return turn.join(table, ["i", "nth"]).select("doc", "source", "epoch", at.alias("slot"), "place")
+    sources = spark.createDataFrame([(k, i, counts[k], n[i] * block) for i, k in enumerate(names)], "name string, i long, docs long, uses long")
+    table = spark.createDataFrame(pa.table({"i": np.repeat(np.arange(len(n)), n), "nth": np.concatenate([np.arange(k) for k in n]), "slot": np.concatenate([np.asarray(s, np.int64) for s in slots])}))
+    rows = common.ranked(keyed, ["name"], "bucket", ["hash", "doc_id"], "rank").join(sources, "name")
+    used = rows.where("rank < uses").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("uses") - 1 - F.col("rank")) / F.col("docs")))))
+    at = F.col("rank") + F.col("epoch") * F.col("docs")
+    turn = used.withColumn("nth", F.floor(at / block)).withColumn("place", (at % block).cast("int"))
+    return turn.join(table, ["i", "nth"]).select("doc", "source", "epoch", "slot", "place")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.picked(common.table(spark, sf_dir, "documents"), doc_id="long", source="string")
-    return mixed(docs, period=PERIOD).select("doc.doc_id", "source", "epoch", "slot", "place")
+    return mixed(docs).select("doc.doc_id", "source", "epoch", "slot", "place")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix uses them, in its order; a document that several epochs use has a row for each."""
+    """The documents as the mix uses them, in its order from file to file and row to row; a row for each use of a document."""
     rows = mixed(docs)
     ordered = rows.repartitionByRange(common.buckets(spark), "slot", "place").sortWithinPartitions("slot", "place")
     return ordered.select("doc.*")
@@ -164,25 +116,22 @@ QUERIES = {"op6_mixing": op6_mixing}
 
 ORACLE_SQL = {
     "op6_mixing": f"""
-WITH RECURSIVE n AS (SELECT source, count(*) AS c, count(*) / sqrt(sqrt(count(*))) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM documents GROUP BY source),
-p AS (SELECT greatest({PERIOD}, count(*)) AS period, count(*) AS k, sum(w) AS total FROM n),
-x AS (SELECT n.*, period, (period - k) * w / total AS exact FROM n, p),
-y AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, i) AS r, period - sum(1 + floor(exact)::BIGINT) OVER () AS spare FROM x),
-z AS (SELECT source, i, period, 1 + floor(exact)::BIGINT + (r <= spare)::BIGINT AS a, (c + {BLOCK - 1}) // {BLOCK} AS blocks FROM y),
-l AS (SELECT list(a ORDER BY i) AS a, any_value(period) AS period FROM z),
+WITH RECURSIVE n AS (SELECT source, count(*) AS c, floor(1e6 * count(*) / sqrt(sqrt(count(*))))::HUGEINT AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM documents GROUP BY source),
+p AS (SELECT sum(a)::HUGEINT AS period, greatest({BLOCK}, -(-sum(c) // {MOST_BLOCKS}))::BIGINT AS block FROM n),
+z AS (SELECT n.*, period, block, (c + block - 1) // block AS blocks FROM n, p),
+l AS (SELECT list(a ORDER BY i) AS a, any_value(period) AS period, max((blocks * period + a - 1) // a) AS most FROM z),
 s AS (
-  SELECT 0::BIGINT AS t, 0::BIGINT AS pick, list_transform(a, lambda v: 0::BIGINT) AS done FROM l
+  SELECT 0::BIGINT AS t, 0::BIGINT AS pick, list_transform(a, lambda v: 0::HUGEINT) AS done FROM l
   UNION ALL
-  SELECT t + 1, pick, list_transform(done, lambda v, j: v + (j = pick)::BIGINT) FROM (
+  SELECT t + 1, pick, list_transform(done, lambda v, j: v + (j = pick)::HUGEINT) FROM (
     SELECT t, done, list_position(d, list_min(d))::BIGINT AS pick FROM (
-      SELECT t, done, list_transform(done, lambda v, j: CASE WHEN v * period // a[j] <= t THEN ((v + 1) * period + a[j] - 1) // a[j] ELSE 1000000000000 END) AS d
-      FROM s, l WHERE t < period))
+      SELECT t, done, list_transform(done, lambda v, j: CASE WHEN v * period // a[j] <= t THEN ((v + 1) * period + a[j] - 1) // a[j] ELSE 1000000000000000 END) AS d
+      FROM s, l WHERE t < most))
 ),
-slots AS (SELECT pick AS i, t - 1 AS spot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM s WHERE t > 0),
-last AS (SELECT max((blocks - 1) // a * period + spot) + 1 AS finish FROM z JOIN slots ON z.i = slots.i AND nth = (blocks - 1) % a),
-u AS (SELECT z.*, finish // period * a + (SELECT count(*) FROM slots WHERE slots.i = z.i AND spot < finish % period) AS uses FROM z, last),
-d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents),
-e AS (SELECT d.doc_id, d.source, r // {BLOCK} AS b, r % {BLOCK} AS place, u.* EXCLUDE (source), unnest(range(0, (uses - 1 - r // {BLOCK}) // blocks + 1)) AS epoch FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, e.source, epoch::BIGINT AS epoch, ((b + epoch * blocks) // a * period + spot)::BIGINT AS slot, place::INT AS place
-FROM e JOIN slots ON e.i = slots.i AND nth = (b + epoch * blocks) % a"""
+slots AS (SELECT pick AS i, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM s WHERE t > 0),
+last AS (SELECT max(slot) AS finish FROM z JOIN slots ON z.i = slots.i AND nth = blocks - 1),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents)
+SELECT d.doc_id, d.source, ((nth * block + k - r) // c)::BIGINT AS epoch, slot::BIGINT AS slot, k::INT AS place
+FROM slots JOIN last ON slot <= finish JOIN z ON z.i = slots.i, unnest(range(0, block)) AS u(k)
+JOIN d ON d.source IS NOT DISTINCT FROM z.source AND d.r = (nth * block + k) % c"""
 }

@@ -1,7 +1,9 @@
 import hashlib
 import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sediment.llm import mixing as m
@@ -16,38 +18,61 @@ def rows():
     return out
 
 
-def brute(data, block, period):
-    """The mix by hand: at each slot, of the released blocks that of the earliest deadline."""
+def brute(data, block, weights=None):
+    """The mix by hand: at each slot, of the released blocks that of the earliest deadline. Weights are fractions."""
     by = defaultdict(list)
     for r in data:
         by[r[3]].append(r[0])
     names = sorted(by, key=lambda s: (s is not None, s or ""))
     for s in names:
-        by[s].sort(key=lambda i: (hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:3], hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i is not None, i or 0))
-    share = m.shares([len(by[s]) / math.sqrt(math.sqrt(len(by[s]))) for s in names], max(period, len(names)))
-    period = sum(share)
-    blocks = [-(-len(by[s]) // block) for s in names]
+        by[s].sort(key=lambda i: (hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i is not None, i or 0))
+    w = [Fraction(weights[s] if weights else math.floor(1e6 * len(by[s]) / math.sqrt(math.sqrt(len(by[s]))))) for s in names]
+    w = [x / sum(w) for x in w]
     done, out, slot = [0] * len(names), Counter(), 0
-    while any(d < b for d, b in zip(done, blocks, strict=True)):
-        ready = [(-(-(d + 1) * period // a), i) for i, (d, a) in enumerate(zip(done, share, strict=True)) if d * period // a <= slot]
+    while any(d * block < len(by[s]) for d, s in zip(done, names, strict=True)):
+        ready = [(math.ceil((d + 1) / x), i) for i, (d, x) in enumerate(zip(done, w, strict=True)) if math.floor(d / x) <= slot]
         deadline, i = min(ready)
         assert slot < deadline
-        b = done[i] % blocks[i]
-        for place, doc in enumerate(by[names[i]][b * block : (b + 1) * block]):
-            out[(doc, names[i], done[i] // blocks[i], slot, place)] += 1
+        for place in range(block):
+            at = done[i] * block + place
+            own = by[names[i]]
+            out[(own[at % len(own)], names[i], at // len(own), slot, place)] += 1
         done[i] += 1
         slot += 1
-        for d, a in zip(done, share, strict=True):
-            assert abs(d - slot * a / period) < 1  # less than one block off, at every slot
+        for d, x in zip(done, w, strict=True):
+            assert abs(d - slot * x) < 1  # less than one block off, at every slot
     return out
 
 
-@pytest.mark.parametrize(("block", "period"), [(8, 1000), (1, 10), (3, 64)])
-def test_mix_matches_a_plain_schedule(spark, block, period):
+@pytest.mark.parametrize("block", [8, 1, 3])
+def test_mix_matches_a_plain_schedule(spark, block):
     docs = frame(spark, rows()).repartition(3)
-    got = m.mixed(docs, block=block, period=period)
+    got = m.mixed(docs, block=block)
     assert got.select("doc.*").columns == docs.columns
-    assert Counter((r.doc.doc_id, r.source, r.epoch, r.slot, r.place) for r in got.collect()) == brute(rows(), block, period)
+    assert Counter((r.doc.doc_id, r.source, r.epoch, r.slot, r.place) for r in got.collect()) == brute(rows(), block)
+
+
+def test_blocks_grow_so_that_their_number_is_bounded(spark):
+    docs = frame(spark, rows()).repartition(3)
+    got = m.mixed(docs, block=1, most_blocks=50).collect()
+    assert Counter((r.doc.doc_id, r.source, r.epoch, r.slot, r.place) for r in got) == brute(rows(), -(-len(rows()) // 50))
+
+
+def test_true_weights_over_millions_of_slots():
+    """Thirds that differ by under a thousandth, a very small weight, unequal others: under one block off everywhere."""
+    third = 1 / 3
+    weights = [third, third + 0.0004, third - 0.0004 - 1e-6, 1e-6]
+    share = m.exact(weights)
+    total = sum(map(Fraction, weights))
+    assert [Fraction(s, sum(share)) for s in share] == [Fraction(w) / total for w in weights]
+    slots = m.schedule(share, [1, 700_000, 1, 2])
+    n = sum(map(len, slots))
+    assert n > 1_900_000 and sorted(np.concatenate(slots).tolist()) == list(range(n))
+    for s, own in zip(share, slots, strict=True):
+        at = np.asarray(own, np.float64)
+        j, w = np.arange(len(own)), s / sum(share)
+        # before and after each block; a hair for floating point
+        assert (np.abs(j - at * w) < 1 + 1e-6).all() and (np.abs(j + 1 - (at + 1) * w) < 1 + 1e-6).all()
 
 
 def test_given_weights(spark):

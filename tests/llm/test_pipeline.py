@@ -63,7 +63,7 @@ def test_stages(spark, folder):
     groups = {c: i for i, _, c in sorted(test_near_dup.brute(spoken_), key=lambda x: (x[0] is None, x[0] or 0), reverse=True)}
     assert sorted(r[0] for r in unique if r[0] is not None) == sorted(c for c in groups if c is not None)
 
-    schedule = test_mixing.brute(unique, corpus_pipeline.mixing.BLOCK, corpus_pipeline.mixing.PERIOD)
+    schedule = test_mixing.brute(unique, corpus_pipeline.mixing.BLOCK)
     times = Counter()
     for (doc_id, *_), n in schedule.items():
         times[doc_id] += n
