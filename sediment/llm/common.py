@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,45 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield b.slice(at, to - at)
 
 
+def on_file(df: DataFrame) -> DataFrame:
+    """df itself if it is read straight from files, so that rows have a place of their own; else as a written table."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return written(df, "on-file")
+    return df
+
+
+def located(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """Rows on file with the hash of the path of each one's file, and its number in it: the same at every reading."""
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
+
+def file_starts(docs: DataFrame, file: str, begin: str) -> DataFrame:
+    """(file, begin) for each file of rows on file: how many rows the files before it hold, by name."""
+    from pyspark.sql import Window
+
+    path = F.col("_metadata.file_path")
+    files = docs.select(path.alias("path"), F.col("_metadata.row_index").alias("row")).groupBy("path").agg((F.max("row") + 1).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("path")) - F.col("rows")
+    return files.select(F.xxhash64("path").alias(file), before.alias(begin))
+
+
+#: Keys that hold more than one in HOT_SHARE of all rows are known to every task: fewer than so many.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined with right, which has one row for each key and how many rows of left (of total) bear it.
+
+    Hot keys, fewer than HOT_SHARE, are broadcast, so that their rows stay where they are; the others are shuffled.
+    left is read twice: pass a written table.
+    """
+    hot, cold = right.where(F.col(n) * HOT_SHARE > total), right.where(F.col(n) * HOT_SHARE <= total)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (Spark's names may ignore case)."""
     have = {c.lower() for c in df.columns}

@@ -1,7 +1,7 @@
 """MinHash near-dedup (operator 2): an LSH forest of sorted signature orders.
 
-A document's set is its distinct 5-word shingles. Documents with equal sets are one class, and only classes are
-compared. Each of TREES orders sorts the classes by DEPTH of their MinHash values; neighbours in an order that share
+A document's set is its distinct 5-word shingles. Documents with equal sets are one class (two hashes of the whole set,
+128 bits, have to be equal), and only classes are compared. Each of TREES orders sorts the classes by DEPTH of their MinHash values; neighbours in an order that share
 the first LEAST values or more (their longest common prefix) are candidates. Candidates are linked if the full sets
 overlap enough. Links give components, whose smallest doc_id stays.
 
@@ -207,9 +207,11 @@ def unsettled(orders: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame
     region has to fit in one task. The first table is written.
     """
     rows = orders.select(F.substring("key", 1, REGION_BYTES).alias("region"), "node").distinct().join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
+    rows = common.written(rows, "members")
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
-    rows = common.written(rows.join(sizes.select("region", "n"), "region"), "regions")
-    return rows, rows.where(F.col("n") > REGION)
+    open_ = common.written(common.hot_join(rows, sizes.select("region", "n"), "region", "n", rows.count()), "regions")
+    common.drop(rows)
+    return open_, open_.where(F.col("n") > REGION)
 
 
 def crossed(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -221,10 +223,10 @@ def crossed(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     of the other on side 1; a cell's own pairs are a block with no side 1.
     """
     spans = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) / 1.0001) if percent < 100 else F.col("n_shingles")
-    sized = rows.join(classes.select("node", spans.cast("long").alias("level")), "node")
     tally = rows.groupBy("region", "root").count()
-    main = tally.groupBy("region").agg(F.max(F.struct("count", "root")).alias("m")).select("region", F.col("m.root").alias("main"))
-    sized = common.written(sized.join(main, "region").select("region", "node", "root", "level", (F.col("root") == F.col("main")).cast("int").alias("major")), "cells")
+    main = tally.groupBy("region").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("members")).select("region", "members", F.col("m.root").alias("main"))
+    told = common.hot_join(rows, main, "region", "members", rows.count())
+    sized = common.written(told.join(classes.select("node", spans.cast("long").alias("level")), "node").select("region", "node", "root", "level", (F.col("root") == F.col("main")).cast("int").alias("major")), "cells")
     parts = sized.groupBy("region", "level", "major").agg(F.ceil(F.count(F.lit(1)) / (REGION // 2)).alias("parts"))
     cells = parts.select("region", "level", "major", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     one = cells.where("major = 0").select("region", *[F.col(c).alias(f"{c}_0") for c in ("level", "major", "part")])
@@ -375,13 +377,25 @@ def settled(blocks: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """SIGNED rows whose sets differ never share a node: nodes that two values of check share are told apart by both."""
+    while True:
+        clash = rows.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", F.lit(True).alias("clash"))
+        clash = common.written(clash, "clashes")
+        if clash.isEmpty():
+            common.drop(clash)
+            return rows
+        node = F.when(F.col("clash") & (F.col("n_shingles") > 0), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        rows = common.written(rows.join(clash, "node", "left").withColumn("node", node).drop("clash"), "signed")
+
+
 def near_dup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     row: a column that numbers the rows; it comes back with the row that stands for the component, as `winner`.
     """
     spark = docs.sparkSession
-    rows = common.written(signed(docs, shingle, row), "signed")
+    rows = apart(common.written(signed(docs, shingle, row), "signed"))
     # the smallest doc_id, its first row; nulls come last
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")
     classes = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(who).alias("label"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")).select("node", "label", "n_shingles", F.col("label.doc_id").alias("doc_id"), F.col("label.text_hash").alias("text_hash"), "signature"), "classes")
@@ -418,12 +432,16 @@ def op2_near_dup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
-    """One row of each group, that of the smallest doc_id, with all its columns."""
-    name = common.unused(docs, "row_number")
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    """One row of each group, that of the smallest doc_id, with all its columns.
+
+    Rows are known by their place on file, so that every reading knows the same ones.
+    """
+    docs = common.on_file(docs)
+    file, row, name = (common.unused(docs, k) for k in ("file_key", "file_row", "row_number"))
+    numbered = common.located(docs, file, row).withColumn(name, F.xxhash64(file, row)).drop(file, row)
     judged = near_dup(numbered, percent, row=name)
-    gone = judged.where("row <> winner").select(F.col("row").alias(name))
-    return numbered.join(gone, name, "left_anti").drop(name)
+    gone = judged.where("row <> winner").select(F.col("row").alias(name), F.col("doc_id").alias(f"{name}_of"))
+    return numbered.join(gone, (numbered[name] == gone[name]) & F.col("doc_id").cast("long").eqNullSafe(gone[f"{name}_of"]), "left_anti").drop(name)
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

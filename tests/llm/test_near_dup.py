@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from sediment.llm import common
 from sediment.llm import near_dup as nd
 from sediment.llm.components import components
 
@@ -159,3 +161,16 @@ def test_empty_table(spark):
     assert nd.near_dup(spark.createDataFrame([], DOCS)).count() == 0
     one = nd.near_dup(spark.createDataFrame([(None, "a b c d e f", None, None, None)], DOCS).withColumn("x", F.lit(1))).collect()
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in one] == [(None, 2, None, True)]
+
+
+def test_sets_of_one_node_are_told_apart(spark):
+    rows = [(1, 0, 5, 3, 77, 1, b"a"), (2, 0, 6, 3, 77, 2, b"b"), (3, 0, 5, 3, 77, 1, b"a"), (4, 0, 7, 3, 78, 3, b"c"), (5, 0, 8, 0, 0, 0, None), (6, 0, 9, 0, 0, 4, None)]
+    got = {r.doc_id: r.node for r in nd.apart(common.written(spark.createDataFrame(rows, nd.SIGNED), "signed")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 78 and got[5] == got[6] == 0 and len({got[1], got[2], got[4]}) == 3
+
+
+def test_hot_regions_join_without_a_shuffle(spark):
+    left = common.written(spark.range(4000).selectExpr("case when id % 2 = 0 then -1 else id end as k", "id"), "left")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k < 3000")
+    got = Counter((r.k, r.id, r.n) for r in common.hot_join(left, right, "k", "n", 4000).collect())
+    assert got == Counter((k, i, 2000 if k < 0 else 1) for i in range(4000) for k in [-1 if i % 2 == 0 else i] if k < 3000)
