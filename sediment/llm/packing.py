@@ -5,7 +5,12 @@ first one that may be shorter. Which lengths share a sequence is planned from ho
 length, at most `capacity` numbers, so the plan's cost doesn't grow with the corpus: pieces above a third of the
 capacity are matched greedily, the largest with the largest that fits, at most two to a sequence; smaller ones, the
 largest first, go to the tightest gap that holds them. Each piece then finds its place from its rank among the pieces
-of its length, which Spark counts in buckets, so that a length that many pieces share is no single task's work.
+of its length, which Spark counts in buckets (the tasks that made the pieces, or runs of RUN rows), so that a length that many
+pieces share is no single task's work.
+
+Pieces of one length are placed by doc_id within a bucket; `packing_in_order` places them in the order of the table's
+files and rows instead, and gives each piece its row's number in that order, so that what reads the sequences can
+follow it.
 
 Nulls and odd rows: a null text is an empty one (its end id is one token); null doc_ids are kept as null; repeated rows
 are packed each by itself; an empty table gives no rows; extra columns are ignored. Whole texts are tokenized.
@@ -19,9 +24,11 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +41,8 @@ TOKENIZER = "byte_bpe_50k.json"
 CACHE = 250_000
 #: Unseen words that are encoded as one text.
 TOGETHER = 200
-BUCKETS = 256
+#: Rows whose pieces are ranked together, in the order of a table.
+RUN = 1 << 14
 _SPACES = {0xC2: {(0x85,), (0xA0,)}, 0xE1: {(0x9A, 0x80)}, 0xE2: {(0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)} | {(0x81, 0x9F)}, 0xE3: {(0x80, 0x80)}}
 _OTHER = re.compile(r"[^\S \n]|[\x00-\x08\x0b-\x1f]")
 _RARE = np.zeros(256, bool)
@@ -136,20 +144,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """PIECE (and token_ids) of every row of docs. `tokenizer` names a file that each executor has installed."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """PIECE (and token_ids) of every row of docs. `tokenizer` names a file that each executor has installed.
+
+    carried: columns of whole numbers that each row's pieces have too.
+    """
     common.ship(docs.sparkSession)
-    out = PIECE + ", _salt int" + (", token_ids array<int>" if with_ids else "")
+    out = PIECE + ", _salt long" + "".join(f", {c} long" for c in carried) + (", token_ids array<int>" if with_ids else "")
     schema = common.fields(out)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, salt = encoder(tokenizer_path(tokenizer)), 0
+        enc, task = encoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId()
         for b in common.slices(batches, "text"):
             cols: dict[str, list] = {f.name: [] for f in schema}
             texts = [t or "" for t in b.column("text").to_pylist()]
             odd = other_spaces(*common.arrow_bytes(b.column("text"))).tolist()
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), enc.encode_plain(texts, odd), strict=True):
+            more = zip(*(b.column(c).to_pylist() for c in carried), strict=True) if carried else repeat(())
+            for doc_id, raw, extra in zip(b.column("doc_id").to_pylist(), enc.encode_plain(texts, odd), more, strict=False):
                 raw += end
                 n = len(raw) // 4
                 cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
@@ -160,15 +172,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                     cols["start"].append(cut[k])
                     cols["length"].append(cut[k + 1] - cut[k])
                     cols["ids_crc32"].append(zlib.crc32(part))
-                    cols["_salt"].append(salt % BUCKETS)
-                    salt += 1
+                    cols["_salt"].append(task)
+                    for c, x in zip(carried, extra, strict=True):
+                        cols[c].append(x)
                     if with_ids:
                         cols["token_ids"].append(np.frombuffer(part, "<i4"))
             yield common.batch(schema, **cols)
         enc.old = {}
         common.release()
 
-    return common.picked(docs, doc_id="long", text="string").mapInArrow(run, out)
+    return common.picked(docs, doc_id="long", text="string", **dict.fromkeys(carried, "long")).mapInArrow(run, out)
 
 
 @dataclass
@@ -277,7 +290,7 @@ PLACE = "struct<sequence_id:long,offset:long>"
 
 
 def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """sequence_id and offset for each piece of a written table."""
+    """sequence_id and offset for each piece of a written table; equal lengths by _salt, and then by position if it has one."""
     spark = found.sparkSession
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
@@ -290,7 +303,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         i = r - p["rank"][k]
         return pa.StructArray.from_arrays([pa.array(p["base"][k] + i // p["copies"][k]), pa.array(p["offset"][k] + i % p["copies"][k] * n)], ["sequence_id", "offset"])
 
-    rows = common.ranked(found, ["length"], "_salt", ["doc_id", "piece", "start", "ids_crc32"], "_rank")
+    rows = common.ranked(found, ["length"], "_salt", [*(["position"] if "position" in found.columns else []), "doc_id", "piece", "start", "ids_crc32"], "_rank")
     kept = [c for c in found.columns if c != "_salt"]
     return rows.select(*kept, place("length", "_rank").alias("_p")).select(*kept, F.col("_p.sequence_id").alias("sequence_id"), F.col("_p.offset").alias("offset"))
 
@@ -300,12 +313,23 @@ def packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZE
     return packed(common.written(pieces(docs, capacity, tokenizer, end_id, with_ids), "pieces"), capacity)
 
 
+def packing_in_order(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """As packing, with `position`, the number of each piece's row in the order of the table's files and their rows."""
+    docs = common.on_file(docs)
+    file, row = common.unused(docs, "file_key"), common.unused(docs, "row_number")
+    found = common.written(pieces(common.located(docs, file, row), capacity, tokenizer, end_id, with_ids, (file, row)), "pieces")
+    # small rows meet a row for each file
+    numbered = found.join(common.file_starts(docs, file, "_begin"), file).withColumn("position", F.col("_begin") + F.col(row)).drop(file, row, "_begin", "_salt")
+    return packed(numbered.withColumn("_salt", F.floor(F.col("position") / RUN)), capacity)
+
+
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     return packing(common.table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing(docs)
+    """The pieces of the mix, each with its document's place in it."""
+    return packing_in_order(docs)
 
 
 QUERIES = {"op3_packing": op3_packing}

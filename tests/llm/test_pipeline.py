@@ -36,6 +36,11 @@ def as_rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+def in_file_order(df):
+    rows = df.select("*", "_metadata.file_path", "_metadata.row_index").collect()
+    return sorted(rows, key=lambda r: (r.file_path, r.row_index))
+
+
 def test_stages(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "MinHash near-dedup", "mixing sources to target weights", "best-fit packing"]
     docs = common.table(spark, folder, "documents")
@@ -46,6 +51,8 @@ def test_stages(spark, folder):
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == DOCS.names
         docs = common.written(out, "pipeline-test")
+        if stage is corpus_pipeline.STAGES[-2][1]:
+            ordered = in_file_order(docs)
     start, judged, spoken_, unique, mix = inputs
 
     def failed(t):
@@ -68,6 +75,7 @@ def test_stages(spark, folder):
     for (doc_id, *_), n in schedule.items():
         times[doc_id] += n
     assert Counter(r[0] for r in mix) == times
+    assert [r[0] for r in ordered] == [doc_id for _, _, doc_id in sorted(((slot, place, doc_id) for doc_id, _, _, slot, place in schedule), key=lambda x: x[:2])]
 
     result = docs.collect()
     from tokenizers import Tokenizer
@@ -75,10 +83,13 @@ def test_stages(spark, folder):
     t = Tokenizer.from_file(test_packing.p.tokenizer_path())
     want = test_packing.brute_pieces(mix, lambda x: t.encode(x, add_special_tokens=False).ids, test_packing.p.CAPACITY)
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in result) == want
+    # the mix's order reaches the sequences: each row's number in it
+    assert sorted({r.position for r in result}) == list(range(len(mix)))
+    assert [i for _, i in sorted({(r.position, r.doc_id) for r in result}, key=lambda x: x[0])] == [r[0] for r in ordered]
     total = sum(k[3] * n for k, n in want.items())
     assert test_packing.checked(result, test_packing.p.CAPACITY) <= -(-total // test_packing.p.CAPACITY) + 1
 
 
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder)
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 200
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "position", "sequence_id", "offset"] and out.count() > 200
