@@ -2,61 +2,66 @@
 
 A put flushes once `threshold` keys wait (deletes that wait don't count); a delete flushes once keys and deletes
 together reach it. Where a run ends depends on where the one before it ended, so one store's ops are folded in
-order; the fold streams over sorted rows and holds one run's keys. A cluster has a store for each shard, and shards fold
-side by side.
+order, as one store has one writer: the fold streams over (seq, key, op), holds one run's keys, and gives out a row for
+each run, which is written once. Ops meet their runs in a join on ranges of seq, and never pass through the fold. A
+cluster has a store for each shard, and shards fold side by side. Flushes forced by number need no fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bloom, codec, vectors
+from ..shared import written
 from ..shipping import ship
 from . import state
 
 THRESHOLD = 50
 
 
-def numbered(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = None, every: int | None = None) -> DataFrame:
-    """The log with `generation` and `flushed` (false for ops that no flush has closed yet).
+def boundaries(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = None) -> DataFrame:
+    """(_shard,) generation, first_seq, last_seq, flushed of each run, as a written table; flushed is false for ops that no flush has closed yet.
 
-    shard: a column that tells stores apart (else the log is one store). every: a forced flush after so many ops
-    besides; it does nothing where nothing waits.
+    shard: a column that tells stores apart (else the log is one store).
     """
     ship(log.sparkSession)
-    cols = [*(["_shard"] if shard else []), "seq", "key", "op"]
-    rows = log.withColumn("_shard", F.col(shard)) if shard else log
-    slim = rows.select(*cols)
+    slim = log.select(*([F.col(shard).alias("_shard")] if shard else []), "seq", "key", "op")
     parted = slim.repartition("_shard").sortWithinPartitions("_shard", "seq") if shard else slim.repartition(1).sortWithinPartitions("seq")
-    out = ([("_shard", slim.schema["_shard"].dataType)] if shard else []) + [("seq", slim.schema["seq"].dataType)]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField(n, t) for n, t in out] + [T.StructField("generation", T.LongType()), T.StructField("flushed", T.BooleanType())])
+    seq = slim.schema["seq"].dataType
+    own = [T.StructField("_shard", slim.schema["_shard"].dataType)] if shard else []
+    schema = T.StructType([*own, T.StructField("generation", T.LongType()), T.StructField("first_seq", seq), T.StructField("last_seq", seq), T.StructField("flushed", T.BooleanType())])
+    names = [f.name for f in schema]
 
     def fold(batches: Iterator[pa.RecordBatch]):
         puts: set = set()
         gone: set = set()
-        held: list[tuple] = []  # this run's (shard, seq): given out when it is known whether it is flushed
-        generation, now, done = 0, object(), 0
+        found: list[tuple] = []
+        generation, now, first, last = 0, object(), None, None
+        types = None
+
+        def run(flushed: bool) -> tuple:
+            return (*((now,) if shard else ()), generation, first, last, flushed)
 
-        def give(flushed: bool):
-            n = len(held)
-            arrays = [pa.array([h[i] for h in held]) for i in range(len(out))]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([generation] * n, pa.int64()), pa.array([flushed] * n)], [*(n for n, _ in out), "generation", "flushed"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
         for b in batches:
-            own = b.column("_shard").to_pylist() if shard else [None] * b.num_rows
-            for s, seq, key, op in zip(own, b.column("seq").to_pylist(), b.column("key").to_pylist(), b.column("op").to_pylist(), strict=True):
+            types = types or [*([b.schema.field("_shard").type] if shard else []), pa.int64(), b.schema.field("seq").type, b.schema.field("seq").type, pa.bool_()]
+            shards = b.column("_shard").to_pylist() if shard else repeat(None)
+            for s, seq, key, op in zip(shards, b.column("seq").to_pylist(), b.column("key").to_pylist(), b.column("op").to_pylist(), strict=False):
                 if s != now:
-                    if held:
-                        yield give(False)
-                    puts, gone, held, generation, now, done = set(), set(), [], 0, s, 0
-                held.append((s, seq) if shard else (seq,))
-                done += 1
+                    if first is not None:
+                        found.append(run(False))
+                    puts, gone, generation, now, first = set(), set(), 0, s, None
+                if first is None:
+                    first = seq
+                last = seq
                 if op == state.PUT:
                     puts.add(key)
                     gone.discard(key)
@@ -65,14 +70,56 @@ def numbered(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = Non
                     puts.discard(key)
                     gone.add(key)
                     full = len(puts) + len(gone) >= threshold
-                if full or every and done % every == 0:
-                    yield give(True)
-                    puts, gone, held, generation = set(), set(), [], generation + 1
-        if held:
-            yield give(False)
+                if full:
+                    found.append(run(True))
+                    puts, gone, generation, first = set(), set(), generation + 1, None
+            if found:
+                yield out()
+                found = []
+        if first is not None:
+            found = [run(False)]
+            yield out()
+
+    return written(parted.mapInArrow(fold, schema), "runs")
+
+
+def assigned(log: DataFrame, ends: DataFrame, shard: str | None = None) -> DataFrame:
+    """The log with the generation and `flushed` of the run that holds each op.
+
+    Runs and ops meet by ranges of seq about as wide as a run, so that a range has a few runs; Spark broadcasts the
+    runs if they are few.
+    """
+    size = ends.agg(F.count(F.lit(1)).alias("n"), F.min("first_seq").alias("low"), F.max("last_seq").alias("high")).first()
+    if not size["n"]:
+        return log.withColumns({"generation": F.lit(0).cast("long"), "flushed": F.lit(False)}).where(F.lit(False))
+    width = max(1, (size["high"] - size["low"] + 1) // size["n"])
+
+    def place(seq: str):
+        return F.floor((F.col(seq) - size["low"]) / width)
+
+    keys = ["_at", *(["_shard"] if shard else [])]
+    runs = ends.withColumn("_at", F.explode(F.sequence(place("first_seq"), place("last_seq"))))
+    rows = log.withColumn("_at", place("seq"))
+    rows = rows.withColumn("_shard", F.col(shard)) if shard else rows
+    return rows.join(runs, keys).where("seq between first_seq and last_seq").drop("_at", "_shard", "first_seq", "last_seq")
 
-    runs = parted.mapInArrow(fold, schema)
-    return rows.join(runs, [*(["_shard"] if shard else []), "seq"]).drop("_shard")
+
+def numbered(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = None) -> DataFrame:
+    """The log with `generation` and `flushed`. The fold runs here, once."""
+    return assigned(log, boundaries(log, threshold, shard), shard)
+
+
+def forced(log: DataFrame, every: int, width: int = 1 << 16) -> DataFrame:
+    """The log with the generation and `flushed` of flushes forced after every so many ops, and by nothing else.
+
+    An op's number is its rank in its range of seq and the ops of the ranges before: a row for each range.
+    """
+    at = log.withColumn("_at", F.floor(F.col("seq") / width))
+    counts = at.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    begin = counts.select("_at", (F.sum("_n").over(Window.orderBy("_at")) - F.col("_n")).alias("_begin"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    number = F.col("_begin") + F.row_number().over(Window.partitionBy("_at").orderBy("seq")) - 1
+    told = at.join(begin, "_at").withColumn("generation", F.floor(number / every))
+    return told.withColumn("flushed", F.col("generation") < F.floor(F.col("_all") / every)).drop("_at", "_begin", "_all")
 
 
 def records(runs: DataFrame) -> DataFrame:
@@ -149,14 +196,19 @@ def filter_bits(table: DataFrame) -> DataFrame:
 
 
 def skips(table: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, runs, skipped): of each asked key, how many tables the filters spare."""
-    sizes = filter_sizes(table).select("generation", "bits")
+    """(key, runs, skipped): of each asked key, how many tables the filters spare.
+
+    A probe needs each filter's size. Sizes follow from the records of a table, so there are fewer of them than the
+    largest table has records, however many tables there are; a key's positions are worked out once for each size.
+    """
+    sizes = {r["bits"]: r["same"] for r in filter_sizes(table).groupBy("bits").agg(F.count(F.lit(1)).alias("same")).collect()}
     asked = keys.select("key").distinct()
-    # a probe needs each filter's size: sizes are grouped, so that a key's positions are worked out once for each size
-    pairs = asked.join(F.broadcast(sizes.groupBy("bits").agg(F.count(F.lit(1)).alias("same"))), how="cross")
+    runs = F.lit(sum(sizes.values())).cast("long")
+    if not sizes:
+        return asked.select("key", runs.alias("runs"), F.lit(0).cast("long").alias("skipped"))
+    pairs = asked.withColumn("bits", F.explode(F.array(*[F.lit(b).cast("long") for b in sorted(sizes)])))
     places = pairs.select("key", "bits", F.explode(F.array_distinct(vectors.probes(F.col("key"), F.col("bits")))).alias("bit"))
     need = places.groupBy("key", "bits").agg(F.count(F.lit(1)).alias("need"))
     hits = places.join(filter_bits(table), ["bits", "bit"]).groupBy("key", "bits", "generation").agg(F.count(F.lit(1)).alias("hit"))
     maybe = hits.join(need, ["key", "bits"]).where("hit = need").groupBy("key").agg(F.count(F.lit(1)).alias("maybe"))
-    runs = sizes.agg(F.count(F.lit(1)).alias("runs"))
-    return asked.join(F.broadcast(runs), how="cross").join(maybe, "key", "left").select("key", "runs", (F.col("runs") - F.coalesce("maybe", F.lit(0))).alias("skipped"))
+    return asked.join(maybe, "key", "left").select("key", runs.alias("runs"), (runs - F.coalesce("maybe", F.lit(0))).alias("skipped"))

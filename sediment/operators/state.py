@@ -27,6 +27,12 @@ def snapshot(log: DataFrame, seq: int) -> DataFrame:
     return live(log.where(F.col("seq") <= seq))
 
 
+def middle(log: DataFrame) -> int:
+    """The number half way between the log's first op and its last."""
+    ends = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    return 0 if ends["low"] is None else (ends["low"] + ends["high"]) // 2
+
+
 def get(log: DataFrame, key: str) -> DataFrame:
     """No row or one: the filter on the key comes before the aggregate, and reaches the scan."""
     return live(log.where(F.col("key") == key))

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import state
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ALPHABET = string.ascii_letters + string.digits
 
 
-def hit_key(i: Column) -> Column:
+def present_key(i: Column) -> Column:
     return F.concat(F.lit("key_"), i.cast("string"))
 
 
-def miss_key(i: Column) -> Column:
+def absent_key(i: Column) -> Column:
     return F.concat(F.lit("miss_"), i.cast("string"))
 
 
 def random_value(i: Column, low: int, high: int, seed: int = 0) -> Column:
     """Text of a size between low and high, the same for the same i and seed."""
-    size = (low + F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(high - low + 1))).cast("int")
-    letter = lambda k: F.substring(F.lit(ALPHABET), (1 + F.pmod(F.xxhash64(i, k, F.lit(seed)), F.lit(len(ALPHABET)))).cast("int"), F.lit(1))
+    size = (low + scattered(i * 31 + seed) % (high - low + 1)).cast("int")
+    letter = lambda k: F.substring(F.lit(ALPHABET), (1 + F.shiftright(scattered(i * 1031 + k * 7 + seed), 8) % len(ALPHABET)).cast("int"), F.lit(1))
     return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), letter), "")).otherwise("")
 
 
@@ -55,9 +57,23 @@ def scattered(i: Column) -> Column:
 
 
 def delete_sample(log: DataFrame, share: float) -> DataFrame:
-    """Keys to delete: a share of all keys, none twice. A top-k over one number, so no full sort."""
-    n = int(log.count() * share)
-    return log.select("seq", "key").orderBy(scattered(F.col("seq")), "seq").limit(n)
+    """Keys to delete: the share of all keys whose scattered numbers are smallest (ties: by seq), none twice.
+
+    Counts of 2^16 ranges of the number give the range in which the share ends; all rows of the ranges below it belong
+    to the share, and only that range's own rows are sorted.
+    """
+    rows = log.select("seq", "key", scattered(F.col("seq")).alias("_at"))
+    band = F.shiftright("_at", 16)
+    counts = sorted((r["band"], r["n"]) for r in rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = int(sum(n for _, n in counts) * share)
+    for at, n in counts:
+        if left < n:
+            break
+        left -= n
+    else:
+        return log.select("seq", "key")
+    last = rows.where(band == at).orderBy("_at", "seq").limit(left)
+    return rows.where(band < at).unionByName(last).select("seq", "key")
 
 
 def read_plan(spark: SparkSession, keys: int, reads: int, miss_rate: float) -> DataFrame:
@@ -65,7 +81,7 @@ def read_plan(spark: SparkSession, keys: int, reads: int, miss_rate: float) -> D
     misses = min(reads, int(reads * miss_rate + 0.5))
     i = F.col("id")
     drawn = F.when(F.lit(keys) > 0, scattered(i * 7 + 42) % max(keys, 1)).otherwise(F.lit(0))
-    return spark.range(reads).select(i.alias("n"), F.when(i < reads - misses, hit_key(drawn)).otherwise(miss_key(i - (reads - misses))).alias("key"))
+    return spark.range(reads).select(i.alias("n"), F.when(i < reads - misses, present_key(drawn)).otherwise(absent_key(i - (reads - misses))).alias("key"))
 
 
 def read_stats(log: DataFrame, plan: DataFrame) -> DataFrame:

@@ -169,6 +169,9 @@ SELECT frame, r.key, CASE WHEN kind < 4 THEN r.key END AS routing_key,
 CASE kind WHEN 2 THEN CASE WHEN l.key IS NULL THEN {frame(0x82, "'00'", counted("''"))} ELSE {frame(0x82, "'01'", counted('l.value'))} END WHEN 1 THEN {frame(0x81, "'01'")} WHEN 3 THEN {frame(0x83, "'01'")} WHEN 129 THEN {message('unexpected message type for a request')} END AS node_answer,
 CASE WHEN kind < 4 THEN NULL ELSE {message('malformed or non-request message')} END AS leader_answer FROM requests r LEFT JOIN live l USING (key)""",
         "bench_keys": "SELECT o_orderkey AS seq, 'key_' || o_orderkey AS hit, 'miss_' || o_orderkey AS miss FROM orders",
+        "bench_random_values": f"""WITH {LOAD}, s AS (SELECT key, seq, {c.VALUE_SIZES[0]} + ((seq * 31 + {c.SEED}) * 2654435761 % 4294967296) % {c.VALUE_SIZES[1] - c.VALUE_SIZES[0] + 1} AS size FROM load)
+SELECT key, coalesce(array_to_string(list_transform(range(1, size + 1), lambda k: substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789',
+  (1 + (((seq * 1031 + k * 7 + {c.SEED}) * 2654435761 % 4294967296) >> 8) % 62)::INT, 1)), ''), '') AS value FROM s""",
         "split_range": f"WITH n AS (SELECT count(*) AS n FROM orders) SELECT p AS part, (p * (n // {c.PARTS}) + least(p, n % {c.PARTS}))::BIGINT AS start, ((p + 1) * (n // {c.PARTS}) + least(p + 1, n % {c.PARTS}))::BIGINT AS stop FROM n, range({c.PARTS}) AS r(p)",
         "bench_write_stats": f"WITH {LOAD} {WRITES}",
         "bench_generations": f"SELECT (o_orderkey // {c.LOAD_THRESHOLD})::BIGINT AS generation, count(*) AS records FROM orders GROUP BY ALL",
@@ -179,7 +182,7 @@ CASE WHEN kind < 4 THEN NULL ELSE {message('malformed or non-request message')}
 SELECT upper(metric) AS metric, value::DOUBLE AS value FROM (UNPIVOT (SELECT write_ops::DOUBLE AS write_ops, total_value_bytes::DOUBLE AS total_value_bytes, avg_value_bytes, read_ops::DOUBLE AS read_ops, read_hits::DOUBLE AS read_hits, read_misses::DOUBLE AS read_misses, miss_rate_observed FROM w, r) ON COLUMNS(*) INTO NAME metric VALUE value)""",
         "kv_stream_live_state": live,
         "kv_compact": live,
-        "kv_snapshot": f"WITH {LIVE.replace('FROM events)', f'FROM events WHERE event_id <= {c.SNAPSHOT_AT})')} SELECT key, value FROM live",
+        "kv_snapshot": f"WITH {LIVE.replace('FROM events)', 'FROM events WHERE event_id <= (SELECT (min(event_id) + max(event_id)) // 2 FROM events))')} SELECT key, value FROM live",
     }
 
 

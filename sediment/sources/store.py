@@ -1,7 +1,8 @@
 """A durable store over Parquet: an op log, generations, and a manifest that is written last.
 
 Put and delete append to the log; flush writes what waits as one generation, sorted by key, and then commits it with
-a manifest row; opening reads what is committed and replays the log after it. A crash before the commit leaves files
+a manifest row; opening reads what is committed and replays the log after it. Compaction writes the newest record of
+each key, without deletes, as one more generation, whose manifest row replaces all before it. A crash before a commit leaves files
 that nothing reads, the log still holds their ops, and the next flush writes that generation's folder anew. One writer at a time; readers see committed snapshots.
 """
 
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import generations, state
+from ..shared import drop
 
 OPS = "seq long, key string, op int, value string"
-MANIFEST = "generation long, filename string, first_seq long, last_seq long"
+MANIFEST = "generation long, filename string, first_seq long, last_seq long, replaces long"
 
 
 class Store:
@@ -34,12 +36,15 @@ class Store:
         return self._rows("log", OPS)
 
     def manifest(self) -> DataFrame:
-        return self._rows("manifest", MANIFEST)
+        """Committed generations that no compaction has replaced: replaces is the last generation that a compacted one stands for."""
+        rows = self._rows("manifest", MANIFEST)
+        replaced = rows.agg(F.max("replaces").alias("r")).first()["r"]
+        return rows if replaced is None else rows.where(F.col("generation") > replaced)
 
     def tables(self) -> DataFrame:
         """Records of committed generations only."""
         rows = self._rows("generations", "key string, op int, value string, generation long")
-        return rows.join(F.broadcast(self.manifest().select("generation")), "generation", "left_semi")
+        return rows.join(self.manifest().select("generation"), "generation", "left_semi")
 
     def committed(self) -> tuple[int, int]:
         """(next generation, last committed seq)."""
@@ -73,18 +78,30 @@ class Store:
 
     def _flush(self, force: bool) -> None:
         begin, _ = self.committed()
-        runs = generations.numbered(self.waiting(), self.threshold)
-        if not force:
-            runs = runs.where("flushed")
-        ends = runs.groupBy("generation").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).persist()  # one row a run: the fold runs once for them
-        rows = state.last_ops(runs, "generation").select((F.col("generation") + begin).alias("generation"), "key", F.col("op").cast("int").alias("op"), "value")
-        if ends.isEmpty():
-            ends.unpersist()
+        waiting = self.waiting()
+        found = generations.boundaries(waiting, self.threshold)
+        ends = found if force else found.where("flushed")
+        if not ends.isEmpty():
+            runs = generations.assigned(waiting, ends)
+            rows = state.last_ops(runs, "generation").select((F.col("generation") + begin).alias("generation"), "key", F.col("op").cast("int").alias("op"), "value")
+            self._write(rows)
+            self._commit(ends.select((F.col("generation") + begin).alias("generation"), "first_seq", "last_seq", F.lit(None).cast("long").alias("replaces")))
+        drop(found)
+
+    def compact(self) -> None:
+        """All committed generations become one, without deletes and what they or later puts have replaced."""
+        now = self.manifest().agg(F.count(F.lit(1)).alias("n"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.max("generation").alias("g")).first()
+        if not now["n"]:
             return
+        none = self.spark.createDataFrame([], "key string, op int, value string")
+        self._write(generations.merged(self.tables(), none).select(F.lit(now["g"] + 1).alias("generation"), "key", F.lit(state.PUT).alias("op"), "value"))
+        self._commit(self.spark.createDataFrame([(now["g"] + 1, now["first_seq"], now["last_seq"], now["g"])], "generation long, first_seq long, last_seq long, replaces long"))
+
+    def _write(self, rows: DataFrame) -> None:
         rows.repartitionByRange(self.files, "generation", "key").sortWithinPartitions("generation", "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation").parquet(f"{self.folder}/generations")
-        number = F.col("generation") + begin
-        ends.select(number.alias("generation"), F.format_string("%06d.sst", number).alias("filename"), "first_seq", "last_seq").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-        ends.unpersist()
+
+    def _commit(self, ends: DataFrame) -> None:
+        ends.select("generation", F.format_string("%06d.sst", "generation").alias("filename"), "first_seq", "last_seq", "replaces").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
     # reads
     def live(self) -> DataFrame:

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
+from ..shared import shared_path
 from ..sources import oplog
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a local one only where it names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sediment-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return oplog.from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
@@ -37,7 +23,7 @@ def live_table(log: DataFrame) -> DataFrame:
     own folder anew.
     """
     spark = log.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "stream")
     last = log.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("last"))
 
     def keep(changed: DataFrame, batch: int) -> None:

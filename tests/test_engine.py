@@ -176,3 +176,54 @@ def test_split_range_with_more_parts_than_numbers(spark):
 def test_random_values(spark):
     rows = spark.range(200).select(workload.random_value(F.col("id"), 0, 20).alias("v")).collect()
     assert {len(r.v) for r in rows} == set(range(21)) and all(c in workload.ALPHABET for r in rows for c in r.v)
+
+
+def test_forced_flushes_count_ops(spark):
+    seqs = [3 * i + (i // 7) * 1000 for i in range(103)]
+    log = spark.createDataFrame([(s, f"k{s % 5}", 1, "v") for s in seqs], LOG).repartition(3)
+    got = {r.seq: (r.generation, r.flushed) for r in gen.forced(log, 10, width=64).collect()}
+    assert got == {s: (n // 10, n < 100) for n, s in enumerate(seqs)}
+    assert gen.forced(log.limit(0), 10).count() == 0
+
+
+def test_empty_logs(spark):
+    none = spark.createDataFrame([], LOG)
+    assert gen.numbered(none).count() == 0 and gen.skips(gen.records(gen.numbered(none)), spark.createDataFrame([("a",)], "key string")).collect()[0].skipped == 0
+
+
+def test_delete_sample_is_the_smallest_share(spark):
+    log = spark.createDataFrame([(i, f"k{i}", 1, "v") for i in range(1000)], LOG)
+    for share in (0.0, 0.1, 0.333, 1.0):
+        want = sorted(range(1000), key=lambda i: (i * 2654435761 % 4294967296, i))[: int(1000 * share)]
+        assert sorted(r.seq for r in workload.delete_sample(log, share).collect()) == sorted(want)
+
+
+def test_compaction_rewrites_committed_generations(spark, tmp_path):
+    s = store(spark, tmp_path, threshold=3)
+    s.put({"a": "1", "b": "1", "c": "1"})
+    s.put({"a": "2", "d": "1"})
+    s.delete("b")
+    s.put({"w": "waits"})
+    before = {r.key: r.value for r in s.live().collect()}
+    assert s.manifest().count() == 2
+    s.compact()
+    again = store(spark, tmp_path, threshold=3)
+    assert again.manifest().count() == 1 and {r.key: r.value for r in again.live().collect()} == before == {"a": "2", "c": "1", "d": "1", "w": "waits"}
+    assert {(r.key, r.op) for r in again.tables().collect()} == {("a", 1), ("c", 1), ("d", 1)}
+    # later flushes go on from there, and win
+    again.put({"a": "3", "x": "1"})
+    assert again.manifest().count() == 2 and again.get("a") == "3" and again.get("b") is None
+    again.compact()
+    assert store(spark, tmp_path, threshold=3).get("a") == "3" and again.manifest().count() == 1
+    store(spark, f"{tmp_path}/none").compact()
+
+
+def test_shared_folder_is_named_or_local(spark):
+    from types import SimpleNamespace
+
+    from sediment.shared import shared_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    away = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(away)
