@@ -135,7 +135,8 @@ def read_back(table: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     spark = table.sparkSession
     common.ship(spark)
-    walked = table.repartition(common.buckets(spark), "shard").sortWithinPartitions("shard", "seq")
+    # a hash would give some tasks several shards and others none
+    walked = table.repartitionByRange(common.buckets(spark), "shard").sortWithinPartitions("shard", "seq")
     schema = common.fields(READ)
 
     def run(batches):
