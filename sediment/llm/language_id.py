@@ -131,23 +131,45 @@ class Model:
         return out
 
 
-def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
-    """Viterbi: the language of each word that maximises the scores' sum less `switch` for each change."""
-    n, k = scores.shape
-    best = scores[0].copy()
-    back = np.zeros((n, k), np.int32)
+def best_paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
+    """Viterbi: the language of each word that maximises the scores' sum less `switch` for each change, for each document.
+
+    All documents take a step together, the longest first, so that a step is one operation on those not yet at their end.
+    """
+    order = sorted(range(len(scores)), key=lambda d: -len(scores[d]))
+    size = np.array([len(scores[d]) for d in order])
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(scores)
+    if not len(size) or not size[0]:
+        return [np.zeros(len(s), np.int32) for s in scores]
+    k = scores[0].shape[1]
+    flat = np.concatenate([scores[d] for d in order])
+    begin = np.cumsum(size) - size
+    live = np.searchsorted(-size, -np.arange(size[0]), "left")  # of each step, how many documents have a word there
+    best = flat[begin[: live[0]]].copy()
+    back = np.zeros((len(flat), k), np.int32)
     stay = np.arange(k, dtype=np.int32)
-    for i in range(1, n):
-        top = int(best.argmax())
-        jump = best[top] - switch
-        move = jump > best
-        back[i] = np.where(move, top, stay)
-        best = np.where(move, jump, best) + scores[i]
-    path = np.zeros(n, np.int32)
-    path[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
+    for i in range(1, size[0]):
+        n = live[i]
+        now = best[:n]
+        top = now.argmax(axis=1)
+        jump = now[np.arange(n), top] - switch
+        move = jump[:, None] > now
+        at = begin[:n] + i
+        back[at] = np.where(move, top[:, None], stay)
+        best[:n] = np.where(move, jump[:, None], now) + flat[at]
+    # the ends, and from there back
+    path = np.zeros(len(flat), np.int32)
+    path[(begin + size - 1)[size > 0]] = best[size[: len(best)] > 0].argmax(axis=1)
+    for i in range(size[0] - 1, 0, -1):
+        at = begin[: live[i]] + i
+        path[at - 1] = back[at, path[at]]
+    for d, a, n in zip(order, begin, size, strict=True):
+        out[d] = path[a : a + n]
+    return out
+
+
+def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
+    return best_paths([scores], switch)[0]
 
 
 def one_language(scores: np.ndarray, switch: float) -> int | None:
@@ -168,43 +190,56 @@ def runs(path: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(path)]]).tolist(), strict=True))
 
 
-OUT = "struct<lang:string,score:double,spans:array<struct<start:long,stop:long,lang:string>>>"
-_OUT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])))])
+OUT = "struct<lang:string,score:double,sure:double,spans:array<struct<start:long,stop:long,lang:string>>>"
+_OUT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("sure", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])))])
 
 
 def predict(model: Model, data: np.ndarray, off: np.ndarray, switch: float = SWITCH, with_spans: bool = False) -> list[dict]:
-    """Of each document its language, score and (start, stop, language) spans in code points."""
+    """Of each document its language, score, how sure its labels are and (start, stop, language) spans in code points.
+
+    score: the share of the letters that the language labels, times how sure it is of them; sure: how sure all
+    labels are, each language's by its share, so that a text in several languages isn't taken for an unclear one.
+    """
     t = Text.read(data, off)
     per_word = model.word_scores(t) if model.langs else np.zeros((len(t.scripts), 0))
     size = t.n_letters.sum(axis=1)
     plain = np.concatenate([[0], np.cumsum(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A))])
     plain = plain[off[1:]] > plain[off[:-1]]
-    out = []
-    for d in range(len(off) - 1):
-        a, b = t.first[d], t.first[d + 1]
-        codes = t.codes[a:b]
-        weight = size[codes]
+    docs = len(off) - 1
+    out: list[dict] = [{} for _ in range(docs)]
+    paths: dict[int, np.ndarray] = {}
+    hard = []
+    for d in range(docs):
+        codes = t.codes[t.first[d] : t.first[d + 1]]
         # the script ranges are coarse: without a letter of A to Z, each character's category decides
         if not model.langs or not plain[d] and not any(c.isalpha() for c in bytes(data[off[d] : off[d + 1]]).decode()):
-            out.append({"lang": "und", "score": 0.0, "spans": []})
-            continue
-        if not weight.any():  # only letters of no listed script
-            out.append({"lang": model.langs[0], "score": 1 / len(model.langs), "spans": []})
-            continue
-        s = per_word[codes]
-        whole = one_language(s, switch)
-        path = np.full(b - a, whole, np.int32) if whole is not None else best_path(s, switch)
+            out[d] = {"lang": "und", "score": 0.0, "sure": 0.0, "spans": []}
+        elif not size[codes].any():  # only letters of no listed script
+            out[d] = {"lang": model.langs[0], "score": 1 / len(model.langs), "sure": 1 / len(model.langs), "spans": []}
+        elif (whole := one_language(per_word[codes], switch)) is not None:
+            paths[d] = np.full(len(codes), whole, np.int32)
+        else:
+            hard.append(d)
+    paths.update(zip(hard, best_paths([per_word[t.codes[t.first[d] : t.first[d + 1]]] for d in hard], switch), strict=True))
+    for d, path in paths.items():
+        a, b = t.first[d], t.first[d + 1]
+        codes = t.codes[a:b]
+        weight, s = size[codes], per_word[codes]
         share = np.bincount(path, weights=weight, minlength=len(model.langs))
         lang = int(share.argmax())
-        mine = s[path == lang].sum(axis=0)
-        sure = 1 / np.exp(np.clip(mine - mine[lang], -700, 700)).sum()
+        # of each language that labels words: how sure it is of them, against the others
+        sure = {}
+        for k in np.flatnonzero(share).tolist():
+            mine = s[path == k].sum(axis=0)
+            sure[k] = 1 / np.exp(np.clip(mine - mine[k], -700, 700)).sum()
+        total = weight.sum()
         spans = []
         if with_spans:
             lead = np.cumsum((data[off[d] : off[d + 1]] & 0xC0) != 0x80)
             for i, j in runs(path):
                 s0, e0 = t.starts[a + i] - off[d], t.ends[a + j - 1] - off[d]
                 spans.append({"start": int(lead[s0]) - 1, "stop": int(lead[e0 - 1]), "lang": model.langs[path[i]]})
-        out.append({"lang": model.langs[lang], "score": float(share[lang] / weight.sum() * sure), "spans": spans})
+        out[d] = {"lang": model.langs[lang], "score": float(share[lang] / total * sure[lang]), "sure": float(sum(share[k] * v for k, v in sure.items()) / total), "spans": spans}
     return out
 
 
@@ -286,16 +321,16 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
     return language_id(common.table(spark, sf_dir, "documents"))
 
 
-#: The pipeline rejects a document whose language is unknown or less sure than this.
-LEAST_SCORE = 0.5
+#: The pipeline rejects a document whose language is unknown, or whose labels are less sure than this.
+LEAST_SURE = 0.5
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only the documents whose language is known, with all their columns."""
+    """Only the documents whose language, or each of several, is known, with all their columns."""
     model = fitted(docs)
     name = common.unused(docs, "language")
     judged = docs.withColumn(name, labeller(spark, model)(F.col("text").cast("string")))
-    return judged.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
+    return judged.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.sure") >= LEAST_SURE)).drop(name)
 
 
 QUERIES = {"op8_language_id": op8_language_id}

@@ -72,3 +72,54 @@ def test_letters_decide_on_und(spark):
     got = {g.doc_id: g.lang_pred for g in li.language_id(frame(spark, rows() + [(100000 + k, t, None, "s", 1) for k, t in texts.items()])).where("doc_id > 100000").collect()}
     for k, t in texts.items():
         assert (got[100000 + k] != "und") == any(c.isalpha() for c in t), t
+
+
+def test_documents_together_as_each_alone():
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 5):
+        docs = [rng.normal(size=(n, k)) * 3 for n in [0, 1, 7, 300, 2, 2, 0, 41, 7]]
+        for got, s in zip(li.best_paths(docs, 4.0), docs, strict=True):
+            best = s[0].copy() if len(s) else None
+            for row in s[1:]:
+                best = np.maximum(best, best.max() - 4.0) + row
+            assert len(got) == len(s)
+            if len(s):
+                value = sum(s[i, x] for i, x in enumerate(got)) - 4.0 * (np.diff(got) != 0).sum()
+                assert abs(value - best.max()) < 1e-9
+
+
+def test_word_scores_by_hand():
+    """A word's score: the mean over n of its n-grams' log probabilities, its ends marked; other scripts are no candidates."""
+    rng = np.random.default_rng(2)
+    model = li.Model(["aa", "bb", "cc"], rng.normal(size=(li.BUCKETS, 3)), np.array([1 << 1, 1 << 1, 1 << 3]))
+    text = "Ab cde \u0434\u0430 42 ab"
+    data = np.frombuffer(text.encode(), np.uint8)
+    t = li.Text.read(data, np.array([0, len(data)]))
+    got = model.word_scores(t)[t.codes]
+    for word, row in zip(text.split(), got, strict=True):
+        raw = b" " + word.encode().lower() + b" "
+        want = np.zeros(3)
+        for n in range(1, li.ORDERS + 1):
+            for i in range(len(raw) - n + 1):
+                gram = raw[i : i + n]
+                if gram == b" ":
+                    continue
+                h = 0
+                for c in gram:
+                    h = (h * 0x100000001B3 + c + 1) % (1 << 64)
+                bucket = int(li.words.mix(np.array([(h + n) % (1 << 64)], np.uint64))[0]) % li.BUCKETS
+                want += model.table[bucket] / li.ORDERS
+        if word == "42":
+            want[:] = 0
+        else:
+            fits = np.array([True, True, False]) if word.isascii() else np.array([False, False, True])
+            want = np.where(fits, want, want.min() + li.NO_CANDIDATE)
+            want -= want.max()
+        assert np.allclose(row, want), word
+
+
+def test_stage_keeps_text_in_several_languages(spark):
+    mixed = "\n".join(text(lang, 700 + i, 30) for i, lang in enumerate(PARTS))
+    docs = frame(spark, rows() + [(50_001, mixed, None, "s", 1), (50_002, "1 2 3", None, "s", 1)])
+    got = {r.doc_id for r in li.stage(spark, docs, None).where("doc_id > 50000").collect()}
+    assert got == {50_001}
