@@ -12,6 +12,9 @@ The model is fitted on at most FIT_ROWS rows, taken by hash; every row is indexe
 blocks and its queries into groups, so that a partition that holds a third of all rows is many tasks' work, and each
 task holds one block and one group. Queries against all rows go block by block; results are merged by rank.
 
+Vectors are kept as they come, in single or double precision, and scores are products of these in double precision.
+The index works on vectors divided by one power of two near the table's largest component, so that no norm overflows.
+
 Nulls and odd rows: a null vec_id or vector, a null or non-finite component, a zero vector, or another number of
 dimensions than most vectors have, takes no part; rows that repeat a vec_id count once, with the vector that sorts
 first; equal scores go to the smaller vec_id; an empty table gives no rows; extra columns are ignored.
@@ -172,9 +175,14 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([more, np.flatnonzero(scores == least)[: k - len(more)]])
 
 
+def kind_of(rows: DataFrame) -> str:
+    """The precision that vectors are kept in: single if they come in it, else double."""
+    return "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part."""
-    picked = rows.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    picked = rows.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").cast(f"array<{kind_of(rows)}>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
     finite = picked.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0))
     most = finite.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not most:
@@ -195,39 +203,44 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
     """query_id, rank, vec_id, score: of each row for which is_query holds, the k other rows with the largest products that were found."""
     spark = rows.sparkSession
     common.ship(spark)
-    table = common.written(usable(rows), "vectors")
-    n = table.count()
+    table, kind = common.written(usable(rows), "vectors"), kind_of(rows)
+    largest = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("m")).first()
+    n = largest["n"]
     result = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], result)
     sample = table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("embedding").toArrow()
-    x = matrix(sample.column("embedding")).astype(np.float64)
+    unit = 2.0 ** -np.frexp(largest["m"])[1] if kind == "double" else 1.0
+    x = matrix(sample.column("embedding")).astype(np.float64) * unit
+    x = x[(x != 0).any(axis=1)]  # a vector may be too small for the unit
+    if not len(x):
+        x = np.ones((1, len(sample.column("embedding")[0])))
     model = fit(x, max(1, min(len(x) // 32, round(n**0.5 / 8))))
     shared = spark.sparkContext.broadcast(model)  # at most fit_rows / 32 centres
 
     def code(batches):
-        schema = common.fields("part int, salt long, vec_id long, codes binary, embedding array<float>")
+        schema = common.fields(f"part int, salt long, vec_id long, codes binary, embedding array<{kind}>")
         m, salt = shared.value, 0
         for b in batches:
             if b.num_rows:
-                v = matrix(b.column("embedding")).astype(np.float64)
+                v = matrix(b.column("embedding")).astype(np.float64) * unit
                 part = m.assigned(v)
                 codes = packed(m.coded(v, part))
                 yield common.batch(schema, part=part, salt=np.arange(salt, salt + len(v)), vec_id=b.column("vec_id"), codes=[c.tobytes() for c in codes], embedding=b.column("embedding"))
                 salt += len(v)
 
-    index = common.written(table.mapInArrow(code, "part int, salt long, vec_id long, codes binary, embedding array<float>"), "codes")
+    index = common.written(table.mapInArrow(code, f"part int, salt long, vec_id long, codes binary, embedding array<{kind}>"), "codes")
     rows_in = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one for each centre
     held = np.array([rows_in.get(p, 0) for p in range(len(model.centres))])
     probes = probes_needed(model, x, k, held_share)
 
     def route(batches):
-        schema = common.fields("part int, query_id long, query array<float>, salt long")
+        schema = common.fields(f"part int, query_id long, query array<{kind}>, salt long")
         m, salt = shared.value, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                v = matrix(part.column("embedding")).astype(np.float64)
+                v = matrix(part.column("embedding")).astype(np.float64) * unit
                 order = np.argsort(-(v @ m.centres.T), axis=1, kind="stable")
                 # enough partitions for k neighbours besides the query itself
                 before = np.cumsum(held[order], axis=1) - held[order]
@@ -236,7 +249,7 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
                 yield common.batch(schema, part=order[i, j], query_id=part.column("vec_id").to_numpy()[i], query=part.column("embedding").take(pa.array(i)), salt=np.arange(salt, salt + len(i)))
                 salt += len(i)
 
-    asked = common.written(table.where(is_query).mapInArrow(route, "part int, query_id long, query array<float>, salt long"), "asked")
+    asked = common.written(table.where(is_query).mapInArrow(route, f"part int, query_id long, query array<{kind}>, salt long"), "asked")
     groups = {r["part"]: -(-r["count"] // GROUP) for r in asked.groupBy("part").count().collect()}
     if not groups:
         return spark.createDataFrame([], result)
@@ -259,6 +272,8 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
         codes = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         centre = m.centres[a.column("part")[0].as_py()]
         names, q = b.column("query_id").to_numpy(), matrix(b.column("query")).astype(np.float64)
+        whole_v, whole_q = v, q
+        v, q = v * unit, q * unit
         out = []
         for i in range(0, len(names), 64):
             near = scanned(m.tables(q[i : i + 64]), codes) + (q[i : i + 64] @ centre)[:, None]
@@ -273,7 +288,8 @@ def nearest(rows: DataFrame, is_query, k: int = NEAREST, fit_rows: int = FIT_ROW
                     # whatever may reach the k-th best exact product, by twice what codes were off so far, is reranked too
                     least = np.partition(exact, len(exact) - k)[len(exact) - k]
                     some = np.flatnonzero(s >= least - 2 * np.abs(exact - s[some]).max())
-                    exact = (v[some] * q[i + j]).sum(axis=1)
+                with np.errstate(over="ignore"):
+                    exact = (whole_v[some] * whole_q[i + j]).sum(axis=1)
                 order = np.lexsort((ids[some], -exact))[:k]
                 out.append((np.full(len(order), names[i + j]), ids[some][order], exact[order]))
         return pa.Table.from_batches([common.batch(schema, query_id=np.concatenate([x[0] for x in out]), vec_id=np.concatenate([x[1] for x in out]), score=np.concatenate([x[2] for x in out]))])

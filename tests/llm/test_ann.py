@@ -99,3 +99,19 @@ def test_recall_in_a_tight_cluster(spark):
     want = exact(ids, x, 20)
     recall = [len(got[q] & {a for a, _ in want[q]}) / 20 for q in want]
     assert np.mean(recall) >= 0.95 and np.mean([v for q, v in zip(want, recall, strict=True) if q % 3 == 0]) >= 0.95
+
+
+def test_doubles_are_kept(spark):
+    """Components that single precision can't tell apart, or can't hold, decide the order and come out in the scores."""
+    rng = np.random.default_rng(8)
+    for scale in (1.0, 1e150, 1e-150):
+        v = rng.normal(size=(120, 6)) * scale
+        v[1::2] = v[::2] * (1 + 1e-10)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect()
+        want = []
+        for i in range(0, 120, 20):
+            s = (v * v[i]).sum(axis=1)
+            others = sorted((j for j in range(120) if j != i), key=lambda j: (-s[j], j))[:5]
+            want += [(i, k + 1, j, s[j]) for k, j in enumerate(others)]
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
