@@ -1,17 +1,9 @@
-"""What the training-data operators share: code shipping, tables in the shared folder, Arrow slicing."""
+"""What the training-data operators share: code shipping, joins on hot keys, rows on file, Arrow slicing."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import io
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +11,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
+from ..shared import drop, shared_dir, shared_path, written  # noqa: F401
+
 #: Bytes of text that a Python worker turns into NumPy arrays at once (a longer text comes alone).
 SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch, where the session names no number: with long texts, Spark's own would take much memory twice.
 BATCH_ROWS = 1000
 
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any path that Spark's readers can open."""
@@ -33,59 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once an application, so that they need no copy of the repository.
-
-    Spark's file server hands the archive out; executors never look into the driver's folder.
-    """
+    """Send this package's code to the executors; and small Arrow batches, where the session names no number of rows."""
     if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxRecordsPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    path = Path(tempfile.mkdtemp(prefix="ship-")) / f"sediment-{uuid.uuid4().hex[:8]}.zip"
-    path.write_bytes(raw.getvalue())
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the cluster names; only where it is unset (tests) a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sediment-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives the loss of any executor.
-
-    The frame that is returned carries its place as `.place`, for `drop`.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.place = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    shipping.ship(spark)
 
 
 def buckets(spark: SparkSession) -> int:
