@@ -107,9 +107,16 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix uses them, in its order from file to file and row to row; a row for each use of a document."""
-    rows = mixed(docs)
-    ordered = rows.repartitionByRange(common.buckets(spark), "slot", "place").sortWithinPartitions("slot", "place")
-    return ordered.select("doc.*")
+    docs = common.on_file(docs)
+    file, row, name = (common.unused(docs, k) for k in ("file_key", "file_row", "row_number"))
+    numbered = common.located(docs, file, row).withColumn(name, F.xxhash64(file, row)).drop(file, row)
+    # the schedule is made without the texts, which meet it once
+    uses = mixed(numbered.select("doc_id", "source", name)).select(F.col(f"doc.{name}").alias(f"{name}_used"), F.col("doc.doc_id").alias(f"{name}_of"), "slot", "place")
+    slot, place = common.unused(docs, "slot"), common.unused(docs, "place")
+    uses = uses.withColumnRenamed("slot", slot).withColumnRenamed("place", place)
+    rows = numbered.join(uses, (F.col(name) == F.col(f"{name}_used")) & F.col("doc_id").eqNullSafe(F.col(f"{name}_of")))
+    ordered = rows.repartitionByRange(common.buckets(spark), slot, place).sortWithinPartitions(slot, place)
+    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op6_mixing": op6_mixing}
