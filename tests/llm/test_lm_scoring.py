@@ -80,7 +80,9 @@ def near(a, b):
 
 def test_matches_brute_force(spark):
     rows = [r for r in odd_rows() if r[0] != 9] + [(100 + i, prose(i, 30) + " ÀÉ中 ", "en", "a", 1) for i in range(30)]
-    near(scored(frame(spark, rows), chunk_bytes=2000), brute(rows))
+    want = brute(rows)
+    near(scored(frame(spark, rows), chunk_bytes=2000), want)
+    near(scored(frame(spark, rows), chunk_bytes=2000, most_tasks=2), want)
 
 
 def test_probabilities_add_up():
