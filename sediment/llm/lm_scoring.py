@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -237,10 +237,10 @@ def lm_scoring(docs: DataFrame, learn, held_out, chunk_bytes: int = CHUNK_BYTES,
     def entries(keys: str, counts: str) -> DataFrame:
         return kept.select("chunk", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(counts).alias("n"))).alias("e")).select("chunk", F.col("e.key").alias("key"), F.col("e.n").alias("n"))
 
-    # words: a key has a row for each chunk at most
-    w = Window.partitionBy("key")
-    known = common.written(entries("words", "word_counts").select("chunk", "key", F.sum("n").over(w).alias("n"), (F.min("chunk").over(w) == F.col("chunk")).alias("first")).where("n > 0"), "lm-words")
-    distinct = known.where("first").count()
+    # words: totals, which chunks that hold a word join (a key has a row for each chunk, too many for one window)
+    learnt = common.written(entries("words", "word_counts").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "lm-words")
+    distinct = learnt.count()
+    known = entries("words", "word_counts").select("chunk", "key").join(learnt, "key")
     # grams: totals once, then probabilities in shards of the trie
     totals = common.written(entries("grams", "gram_counts").groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
     pairs = np.zeros(1 << 2 * BITS)
