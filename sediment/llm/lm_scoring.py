@@ -38,7 +38,7 @@ BITS = 9
 #: Symbols: 0 before a text, 1 to 256 its bytes, 257 its end.
 END = 257
 ALPHABET = 257
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Chunks are scored by a task each, or in turn by so many tasks.
 MOST_TASKS = 10_000
 LOWEST = (1 << 2 * BITS) - 1
