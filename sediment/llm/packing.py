@@ -28,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Words that a worker remembers in each of two generations, for memory; what it forgets is encoded again.
 CACHE = 250_000
+#: Bytes of text whose distinct words are looked up together (a longer text comes alone).
+SLICE_BYTES = 4 << 20
 #: Unseen words that are encoded as one text.
 TOGETHER = 200
 #: Rows whose pieces are ranked together, in the order of a table.
@@ -93,25 +96,63 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.encode_plain(texts, [_OTHER.search(t) is not None for t in texts])
+        ids, off = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
 
-    def encode_plain(self, texts: list[str], odd: list[bool]) -> list[bytes]:
-        """odd: which texts hold other white space."""
-        split = [None if bad else t.replace("\n", " \n").split(" ") for t, bad in zip(texts, odd, strict=True)]
-        split = [None if p is None or "" in p or "\n" in p else p for p in split]
+    def look(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from what is remembered or encoded now."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        new: set[str] = set()
-        for p in split:
-            if p:
-                new.update(p[1:])
-        new = new.difference(self.known)
-        self.known.update({w: self.old[w] for w in new if w in self.old})
-        unseen = list(new.difference(self.old))
-        self.known.update(zip(unseen, self.parts(unseen), strict=True))
-        first = self.whole([p[0] if p else t for t, p in zip(texts, split, strict=True)])
-        get = self.known.__getitem__
-        return [f + b"".join(map(get, p[1:])) if p else f for f, p in zip(first, split, strict=True)]
+        out = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        new = [words[k] for k in missing]
+        ids = list(map(self.old.get, new))
+        fresh = iter(self.parts([w for w, x in zip(new, ids, strict=True) if x is None]))
+        ids = [next(fresh) if x is None else x for x in ids]
+        self.known.update(zip(new, ids, strict=True))
+        for k, x in zip(missing, ids, strict=True):
+            out[k] = x
+        return out
+
+    def encode_column(self, col: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, off): the ids of all texts (null: empty) one after the other, each text's with `end`; off has one entry more than texts.
+
+        Arrow splits the texts and tells the distinct parts; only these are looked up one by one, and each text's ids
+        are gathered from theirs.
+        """
+        n = len(col)
+        odd = other_spaces(*common.arrow_bytes(col))
+        col = pc.fill_null(col.cast(pa.large_string()), "")
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", col), "\n", " \n"), " ")
+        part = split.flatten().dictionary_encode()
+        index = part.indices.to_numpy().astype(np.int64)
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        names = part.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        # a part that is empty or a bare line feed: white space beside white space
+        bad = np.array([w in ("", "\n") for w in names], bool)[index]
+        whole = odd | (np.add.reduceat(bad, first[:-1], dtype=np.int64) > 0) if n else odd
+        mine = np.repeat(whole, np.diff(first))
+        mine[first[:-1]] = True  # a text's first part has no space before it: it is no word of others
+        used = np.zeros(len(names), bool)
+        used[index[~mine]] = True
+        at = np.cumsum(used) - 1
+        entry = at[index]
+        known = self.look([names[k] for k in np.flatnonzero(used).tolist()])
+        begin = index[first[:-1]].tolist()
+        texts = [t if w else names[k] for t, w, k in zip(col.to_numpy(zero_copy_only=False).tolist(), whole.tolist(), begin, strict=True)]
+        pool = [*known, *self.whole(texts), end]
+        entry[first[:-1]] = len(known) + np.arange(n)
+        keep = ~mine
+        keep[first[:-1]] = True
+        sizes = np.add.reduceat(keep, first[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        entry = np.insert(entry[keep], ends, len(pool) - 1)
+        length = np.array([len(x) for x in pool], np.int64) // 4
+        start = np.cumsum(length) - length
+        count = length[entry]
+        to = np.cumsum(count)
+        ids = np.frombuffer(b"".join(pool), "<u4")[np.repeat(start[entry] - (to - count), count) + np.arange(to[-1] if n else 0)]
+        return ids, np.concatenate([[0], to[ends + np.arange(n)]]) if n else np.zeros(1, np.int64)
 
 
 def byte_table(tokenizer) -> list[bytes]:
@@ -156,27 +197,25 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 
     def run(batches):
         enc, task = encoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId()
-        for b in common.slices(batches, "text"):
+        for b in common.slices(batches, "text", SLICE_BYTES):
             cols: dict[str, list] = {f.name: [] for f in schema}
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            odd = other_spaces(*common.arrow_bytes(b.column("text"))).tolist()
+            ids, off = enc.encode_column(b.column("text"), end)
             more = zip(*(b.column(c).to_pylist() for c in carried), strict=True) if carried else repeat(())
-            for doc_id, raw, extra in zip(b.column("doc_id").to_pylist(), enc.encode_plain(texts, odd), more, strict=False):
-                raw += end
-                n = len(raw) // 4
+            for doc_id, x, y, extra in zip(b.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist(), more, strict=False):
+                n = y - x
                 cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k in range(len(cut) - 1):
-                    part = raw[4 * cut[k] : 4 * cut[k + 1]]
+                    part = ids[x + cut[k] : x + cut[k + 1]]
                     cols["doc_id"].append(doc_id)
                     cols["piece"].append(k)
                     cols["start"].append(cut[k])
                     cols["length"].append(cut[k + 1] - cut[k])
                     cols["ids_crc32"].append(zlib.crc32(part))
                     cols["_salt"].append(task)
-                    for c, x in zip(carried, extra, strict=True):
-                        cols[c].append(x)
+                    for c, value in zip(carried, extra, strict=True):
+                        cols[c].append(value)
                     if with_ids:
-                        cols["token_ids"].append(np.frombuffer(part, "<i4"))
+                        cols["token_ids"].append(part.view("<i4"))
             yield common.batch(schema, **cols)
         enc.old = {}
         common.release()
