@@ -25,6 +25,13 @@ from . import state
 THRESHOLD = 50
 
 
+def listed(col: pa.Array) -> list:
+    """A column as Python values; by way of NumPy where that gives the same ones, which is much faster."""
+    if pa.types.is_string(col.type) or (pa.types.is_integer(col.type) and not col.null_count):
+        return col.to_numpy(zero_copy_only=False).tolist()
+    return col.to_pylist()
+
+
 def boundaries(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = None) -> DataFrame:
     """(_shard,) generation, first_seq, last_seq, flushed of each run, as a written table; flushed is false for ops that no flush has closed yet.
 
@@ -53,8 +60,8 @@ def boundaries(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = N
 
         for b in batches:
             types = types or [*([b.schema.field("_shard").type] if shard else []), pa.int64(), b.schema.field("seq").type, b.schema.field("seq").type, pa.bool_()]
-            shards = b.column("_shard").to_pylist() if shard else repeat(None)
-            for s, seq, key, op in zip(shards, b.column("seq").to_pylist(), b.column("key").to_pylist(), b.column("op").to_pylist(), strict=False):
+            shards = listed(b.column("_shard")) if shard else repeat(None)
+            for s, seq, key, op in zip(shards, listed(b.column("seq")), listed(b.column("key")), listed(b.column("op")), strict=False):
                 if s != now:
                     if first is not None:
                         found.append(run(False))
