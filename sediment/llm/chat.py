@@ -90,10 +90,17 @@ def formatted(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 cols: dict[str, list] = {f.name: [] for f in schema}
-                for conv_id, roles, texts in zip(*(part.column(k).to_pylist() for k in ("conv_id", "roles", "texts")), strict=True):
-                    shared = 0
-                    while shared < min(len(branch), len(roles)) and branch[shared][:2] == (roles[shared], texts[shared]):
+                rows = list(zip(*(part.column(k).to_pylist() for k in ("conv_id", "roles", "texts")), strict=True))
+                fresh, before = [], [x[:2] for x in branch]  # each conversation's turns after those it shares with the one before
+                for _, roles, texts in rows:
+                    turns, shared = list(zip(roles, texts, strict=True)), 0
+                    while shared < min(len(before), len(turns)) and before[shared] == turns[shared]:
                         shared += 1
+                    fresh.append(turns[shared:])
+                    before = turns
+                ids = iter(enc.encode([x for new in fresh for role, text in new for x in (opening(role), escaped(text), STOP)]))
+                for (conv_id, roles, _), new in zip(rows, fresh, strict=True):
+                    shared = len(roles) - len(new)
                     del branch[shared:]
                     position = sum(x[3] for x in branch)
                     spans: list[list[int]] = []
@@ -102,11 +109,9 @@ def formatted(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                             spans[-1][1] = begin + n
                         else:
                             spans.append([begin, begin + n])
-                    new = list(zip(roles[shared:], texts[shared:], strict=True))
-                    ids = enc.encode([x for role, text in new for x in (opening(role), escaped(text), STOP)])
                     raw, size, lows, highs, ends = [], 0, [], [], []
-                    for k, (role, text) in enumerate(new):
-                        head, body, stop = ids[3 * k : 3 * k + 3]
+                    for role, text in new:
+                        head, body, stop = next(ids), next(ids), next(ids)
                         if role == LEARNED_ROLE:
                             lows.append(size + len(head) // 4)
                             highs.append(size + (len(head) + len(body)) // 4)
