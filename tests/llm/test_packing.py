@@ -63,6 +63,27 @@ def test_cached_words_match_the_tokenizer(plain):
         assert np.frombuffer(got, "<u4").tolist() == plain(text), repr(text)
 
 
+def test_encoder_batches(plain):
+    """The same ids however texts are dealt over calls; empty texts and bare white space included."""
+    r = random.Random(5)
+    texts = ["", "\n", " ", "a", "a ", "\na", " \n", "\n\n"] + [" ".join(r.choice(["foo", "bar", "b\nq", "x'll", "é"]) for _ in range(r.randint(0, 50))) for _ in range(300)]
+    enc = p.Encoder(p.tokenizer_path())
+    want = [plain(t) for t in texts]
+    for step in (1, 7, len(texts)):
+        got = [x for k in range(0, len(texts), step) for x in enc.encode(texts[k : k + step])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert enc.encode([]) == []
+
+
+def test_what_a_worker_forgets_is_encoded_again(plain, monkeypatch):
+    monkeypatch.setattr(p, "CACHE", 20)
+    r = random.Random(6)
+    enc = p.Encoder(p.tokenizer_path())
+    for _ in range(50):
+        text = " ".join(f"w{r.randint(0, 99)}" for _ in range(30))
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == plain(text)
+
+
 def test_control_strings_are_ordinary_text():
     enc = p.Encoder(p.tokenizer_path())
     ids = np.frombuffer(enc.encode(["a <|endoftext|> b"])[0], "<u4").tolist()
