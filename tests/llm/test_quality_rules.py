@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 from sediment.llm import quality_rules as q
 
 from .texts import DOCS, frame, odd_rows, prose
@@ -71,3 +73,63 @@ def test_empty_tables(spark):
     assert q.quality_rules(spark.createDataFrame([], DOCS), labels).count() == 0
     got = q.quality_rules(spark.createDataFrame([(1, prose(1, 50), "en", "a", 1)], DOCS), labels).collect()
     assert got[0].kept
+
+
+def test_labels_beyond_twenty_thousand_count(spark):
+    n, some = 20_800, [prose(i, 14) for i in range(200)]
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    text = {d: some[d % 200] for d in ids}
+    late = ids[-700:]  # good texts of their own kind, the last in the order of hashes
+    text |= {d: text[d] + "#" * (12 + d % 5) for d in late}
+    junk = range(n, n + 300)
+    text |= {d: re.sub(r"(\w+)", r"\1 " + "#" * (5 + d % 7), some[d % 200]) for d in junk}
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in text.items()], DOCS)
+    labels = spark.createDataFrame([(d, int(d < n), 0) for d in text], "doc_id long, quality int, toxic int")
+    got = {g.doc_id: g for g in q.quality_rules(docs, labels).collect()}
+    assert not any(got[d].base_failed for d in late)
+    assert np.mean([got[d].kept for d in late]) > 0.97
+    assert np.mean([got[d].kept for d in ids]) >= q.KEEP_GOOD
+    assert not any(got[d].kept for d in junk)
+
+
+def test_tasks_grow_the_trees_of_all_rows(spark):
+    rng = np.random.default_rng(0)
+    stats = pd.DataFrame(rng.integers(0, 40, (400, len(q.NAMES))), columns=q.NAMES).assign(good=rng.integers(0, 3, 400))
+    stats["other"] = (stats["good"] == 0).astype(int)
+    forest = q.fit(spark.createDataFrame(stats).repartition(7), trees=5)
+    x, good, other = q.features(stats), stats["good"].to_numpy(), stats["other"].to_numpy()
+    low, high = x.min(0), x.max(0)
+    assert forest.sample == good.sum()
+    for t, tree in enumerate(forest.trees):
+        want = q.grow(x.repeat(good, axis=0), low, high, np.random.default_rng([q.SEED, t]))
+        assert all(np.array_equal(a, b) for a, b in zip(tree, want, strict=True))
+
+    without = []
+    for i in range(len(x)):
+        rest = x.repeat(np.where(np.arange(len(x)) == i, 0, good), axis=0)
+        trees = [q.grow(rest, low, high, np.random.default_rng([q.SEED, t])) for t in range(5)]
+        without.append(q.Forest(trees, forest.sample, 0).score(x[i : i + 1])[0])
+    scores = np.rint(np.array(without) * 1e6)
+    values = np.unique(scores)
+    cuts = (values[1:] + values[:-1]) / 2e6
+    kept = np.array([good[scores / 1e6 < c].sum() / good.sum() for c in cuts])
+    caught = np.array([other[scores / 1e6 >= c].sum() / other.sum() for c in cuts])
+    best = max((kept + caught)[kept >= q.KEEP_GOOD])
+    assert any(abs(forest.threshold - c) < 1e-9 and k >= q.KEEP_GOOD and abs(k + g - best) < 1e-9 for c, k, g in zip(cuts, kept, caught, strict=True))
+
+
+def test_a_forest_grown_on_other_labels_alone(spark):
+    docs = spark.createDataFrame([(i, prose(i, 50), "en", "a", 1) for i in range(20)] + [(5, prose(5, 50), "en", "a", 1)], DOCS)
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    forest = q.fitted(q.measured(docs), labels)
+    assert (forest.sample, forest.threshold) == (11, q.DEFAULT_THRESHOLD)
+    assert q.quality_rules(docs, labels).count() == 21
+
+
+def test_one_giant_word_spoils_no_other_verdict(spark):
+    rows, labels = labelled(spark)
+    rows = [*rows, (9000, prose(0, 100) + " " + "#" * 300_000, "en", "s", 1)]
+    labels = labels.union(spark.createDataFrame([(9000, 0, 0)], labels.schema))
+    got = {g.doc_id: g.kept for g in q.quality_rules(frame(spark, rows), labels).collect()}
+    assert np.mean([v for k, v in got.items() if k < 5000]) > 0.97
+    assert np.mean([v for k, v in got.items() if k >= 5000]) < 0.05
