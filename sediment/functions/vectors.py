@@ -7,6 +7,8 @@ each other).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -76,16 +78,20 @@ def position(text: Column) -> Column:
     return run(text)
 
 
+def places(first: np.ndarray, second: np.ndarray, bits: int | np.ndarray) -> Iterator[np.ndarray]:
+    """Each probe's positions of keys with these two hashes, in filters of so many bits."""
+    m = np.asarray(bits).astype(np.uint64)
+    return (((first + np.uint64(i) * second) % m).astype(np.int64) for i in range(PROBES))
+
+
 def probes(key: Column, bits: Column) -> Column:
     """As bloom.probes."""
     ship()
 
     @F.arrow_udf("array<long>")
     def run(keys: pa.Array, sizes: pa.Array) -> pa.Array:
-        first, second = fnv(keys), fnv(keys, SECOND_SEED)
-        m = sizes.to_numpy(zero_copy_only=False).astype(np.uint64)
-        steps = [(first + np.uint64(i) * second) % m for i in range(PROBES)]
-        flat = np.stack(steps, axis=1).astype(np.int64).ravel()
+        steps = list(places(fnv(keys), fnv(keys, SECOND_SEED), sizes.to_numpy(zero_copy_only=False)))
+        flat = np.stack(steps, axis=1).ravel()
         return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, PROBES, dtype=np.int32), pa.array(flat))
 
     return run(key, bits.cast("long"))

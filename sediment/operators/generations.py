@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import bloom, codec, vectors
+from ..functions import bloom, codec, hashing, vectors
 from ..shared import written
 from ..shipping import ship
 from . import state
@@ -202,20 +203,75 @@ def filter_bits(table: DataFrame) -> DataFrame:
     return table.select("generation", "key").join(sizes, "generation").select("generation", "bits", F.explode(vectors.probes(F.col("key"), F.col("bits"))).alias("bit")).distinct()
 
 
-def skips(table: DataFrame, keys: DataFrame) -> DataFrame:
+def packed_filters(table: DataFrame, block: int) -> DataFrame:
+    """(_sub, bits, n, rows): the filters of each `block` generations, those of one size together, as a written table.
+
+    Row b of `rows` has a bit for each of the n filters: whether bit b is set in it.
+    """
+    ship(table.sparkSession)
+
+    def pack(t: pa.Table) -> pa.Table:
+        key = t.column("key").combine_chunks()
+        first, second = vectors.fnv(key), vectors.fnv(key, hashing.SECOND_SEED)
+        _, of, count = np.unique(t.column("generation").to_numpy(), return_inverse=True, return_counts=True)
+        size = np.maximum(count * bloom.BITS_PER_KEY, bloom.LEAST_BITS)
+        out = []
+        for bits in np.unique(size):
+            same = size == bits
+            at = (np.cumsum(same) - 1)[of]
+            mine = same[of]
+            one = np.zeros((bits, same.sum()), bool)
+            for place in vectors.places(first[mine], second[mine], bits):
+                one[place, at[mine]] = True
+            out.append((t.column("_sub")[0].as_py(), int(bits), int(same.sum()), np.packbits(one, axis=1).tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["_sub", "bits", "n", "rows"])
+
+    rows = table.select(F.floor(F.col("generation") / block).alias("_sub"), "generation", "key")
+    return written(rows.groupBy("_sub").applyInArrow(pack, "_sub long, bits long, n long, rows binary"), "filters")
+
+
+def skips(table: DataFrame, keys: DataFrame, records: int = 1 << 22) -> DataFrame:
     """(key, runs, skipped): of each asked key, how many tables the filters spare.
 
-    A probe needs each filter's size. Sizes follow from the records of a table, so there are fewer of them than the
-    largest table has records, however many tables there are; a key's positions are worked out once for each size.
+    Every key has to ask every filter. Filters of one size lie bit by bit beside each other, so that a key asks 64 of them
+    by one AND of five words. A task has one group of keys and the filters of about `records` records, and gives one
+    number for each key; nothing is made for a pair of a key and a filter.
     """
-    sizes = {r["bits"]: r["same"] for r in filter_sizes(table).groupBy("bits").agg(F.count(F.lit(1)).alias("same")).collect()}
     asked = keys.select("key").distinct()
-    runs = F.lit(sum(sizes.values())).cast("long")
-    if not sizes:
-        return asked.select("key", runs.alias("runs"), F.lit(0).cast("long").alias("skipped"))
-    pairs = asked.withColumn("bits", F.explode(F.array(*[F.lit(b).cast("long") for b in sorted(sizes)])))
-    places = pairs.select("key", "bits", F.explode(F.array_distinct(vectors.probes(F.col("key"), F.col("bits")))).alias("bit"))
-    need = places.groupBy("key", "bits").agg(F.count(F.lit(1)).alias("need"))
-    hits = places.join(filter_bits(table), ["bits", "bit"]).groupBy("key", "bits", "generation").agg(F.count(F.lit(1)).alias("hit"))
-    maybe = hits.join(need, ["key", "bits"]).where("hit = need").groupBy("key").agg(F.count(F.lit(1)).alias("maybe"))
-    return asked.join(maybe, "key", "left").select("key", runs.alias("runs"), (runs - F.coalesce("maybe", F.lit(0))).alias("skipped"))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.min("generation").alias("low"), F.max("generation").alias("high")).first()
+    if not size["n"]:
+        return asked.select("key", F.lit(0).cast("long").alias("runs"), F.lit(0).cast("long").alias("skipped"))
+    sub = max(1, min(1 << 13, records // 8 * (size["high"] - size["low"] + 1) // size["n"]))
+    filters = packed_filters(table, sub)
+    runs = F.lit(filters.agg(F.sum("n")).first()[0]).cast("long")
+    block = F.floor(F.col("_sub") / 8).alias("_block")
+    blocks = [r["_block"] for r in filters.select(block).distinct().collect()]
+    groups = max(16, asked.count() >> 17)
+
+    def ask(mine: pa.Table, held: pa.Table) -> pa.Table:
+        key = mine.column("key").combine_chunks()
+        first, second = vectors.fnv(key), vectors.fnv(key, hashing.SECOND_SEED)
+        maybe = np.zeros(len(key), np.int64)
+        sizes: dict[int, list[np.ndarray]] = {}
+        for bits, rows in zip(held.column("bits").to_pylist(), held.column("rows").to_pylist(), strict=True) if len(key) else ():
+            sizes.setdefault(bits, []).append(np.frombuffer(rows, np.uint8).reshape(bits, -1))
+        for bits, parts in sizes.items():
+            wide = np.hstack(parts)
+            if wide.shape[1] > 4:
+                wide = np.pad(wide, ((0, 0), (0, -wide.shape[1] % 8))).view(np.uint64)
+            step = max(1, (1 << 21) // wide[0].nbytes)
+            for a in range(0, len(key), step):
+                left = None
+                for place in vectors.places(first[a : a + step], second[a : a + step], bits):
+                    left = wide[place] if left is None else np.bitwise_and(left, wide[place], out=left)
+                maybe[a : a + step] += np.bitwise_count(left).sum(axis=1, dtype=np.int64)
+        if key.null_count:
+            maybe[key.is_null().to_numpy(zero_copy_only=False)] = 0
+        return pa.table([key, pa.array(maybe)], ["key", "maybe"])
+
+    tasks = min(4096, groups * len(blocks))
+    dealt = asked.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("_group"), F.explode(F.array(*[F.lit(b).cast("long") for b in blocks])).alias("_block"), "key")
+    held = filters.select(F.explode(F.array(*[F.lit(g).cast("long") for g in range(groups)])).alias("_group"), block, "bits", "rows")
+    sides = [side.repartition(tasks, "_group", "_block").groupBy("_group", "_block") for side in (dealt, held)]
+    found = sides[0].cogroup(sides[1]).applyInArrow(ask, f"key {asked.schema['key'].dataType.simpleString()}, maybe long")
+    return found.groupBy("key").agg(runs.alias("runs"), (runs - F.sum("maybe")).alias("skipped"))

@@ -227,3 +227,26 @@ def test_shared_folder_is_named_or_local(spark):
     away = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(away)
+
+
+def test_filters_are_asked_side_by_side(spark):
+    """Packed filters over many blocks, several to a byte and to a word, against filters as plain sets; no join of single bits."""
+    import numpy as np
+    import pyarrow as pa
+    from sediment.functions import vectors
+
+    rows = [(g, f"k{(g * 7 + i * 3) % 211}é", 1, "v") for g in range(700) for i in range(3 + g % 9)]
+    table = spark.createDataFrame(rows, "generation long, key string, op int, value string")
+    asked = [f"k{i}é" for i in range(0, 211, 5)] + [f"miss_{i}" for i in range(60)]
+    both = lambda keys: (vectors.fnv(pa.array(keys)), vectors.fnv(pa.array(keys), vectors.SECOND_SEED))
+    want = dict.fromkeys(asked, 0)
+    for g in range(700):
+        mine = [r[1] for r in rows if r[0] == g]
+        bits = max(64, 10 * len(mine))
+        held = {int(b) for p in vectors.places(*both(mine), bits) for b in p}
+        for key, *places in zip(asked, *vectors.places(*both(asked), bits), strict=True):
+            want[key] += not all(int(p) in held for p in places)
+    for records in (200, 1 << 22):
+        got = gen.skips(table, spark.createDataFrame([(k,) for k in [*asked, asked[0]]], "key string"), records)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.key: (r.runs, r.skipped) for r in got.collect()} == {k: (700, np.int64(n)) for k, n in want.items()}
