@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import state
 
 ALPHABET = string.ascii_letters + string.digits
@@ -22,9 +25,28 @@ def absent_key(i: Column) -> Column:
 
 def random_value(i: Column, low: int, high: int, seed: int = 0) -> Column:
     """Text of a size between low and high, the same for the same i and seed."""
-    size = (low + scattered(i * 31 + seed) % (high - low + 1)).cast("int")
-    letter = lambda k: F.substring(F.lit(ALPHABET), (1 + F.shiftright(scattered(i * 1031 + k * 7 + seed), 8) % len(ALPHABET)).cast("int"), F.lit(1))
-    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), letter), "")).otherwise("")
+    ship()
+    letters = np.frombuffer(ALPHABET.encode(), np.uint8)
+
+    def numbers(x: np.ndarray) -> np.ndarray:
+        """As `scattered`: with the sign of x."""
+        return np.sign(x) * ((np.abs(x).astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    @F.arrow_udf("string")
+    def run(i: pa.Array) -> pa.Array:
+        at = i.fill_null(0).to_numpy(zero_copy_only=False)
+        size = np.where(i.is_valid().to_numpy(zero_copy_only=False), np.maximum(low + np.fmod(numbers(at * 31 + seed), high - low + 1), 0), 0)
+        step = max(1, (1 << 18) // max(high, 1))
+        parts = []
+        for a in range(0, len(at), step):
+            some = size[a : a + step]
+            k = np.arange(1, some.sum() + 1) - np.repeat(np.cumsum(some) - some, some)
+            place = np.fmod(numbers(np.repeat(at[a : a + step] * 1031 + seed, some) + k * 7) >> 8, len(letters))
+            parts.append(letters[np.where(place >= 0, place, np.where(place == -1, 0, place + 1))])  # below 0 as SQL's substring counts
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.concatenate(parts) if parts else b""))
+
+    return run(i.cast("long"))
 
 
 def split_range(spark: SparkSession, total: int, parts: int) -> DataFrame:
@@ -52,8 +74,13 @@ def expected_generations(log: DataFrame, threshold: int) -> DataFrame:
 
 
 def scattered(i: Column) -> Column:
-    """A number that orders i, i + 1, ... as if shuffled, and is the same everywhere."""
-    return (i * 2654435761) % 4294967296
+    """A number that orders i, i + 1, ... as if shuffled, and is the same everywhere: i * 2654435761 mod 2^32, with the sign of i.
+
+    The product is put together from halves of i, as longs must not overflow.
+    """
+    low = i % 4294967296
+    high = (low - low % 65536) / 65536
+    return (high.cast("long") * 2654435761 % 65536 * 65536 + low % 65536 * 2654435761) % 4294967296
 
 
 def delete_sample(log: DataFrame, share: float) -> DataFrame:

@@ -250,3 +250,12 @@ def test_filters_are_asked_side_by_side(spark):
         got = gen.skips(table, spark.createDataFrame([(k,) for k in [*asked, asked[0]]], "key string"), records)
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
         assert {r.key: (r.runs, r.skipped) for r in got.collect()} == {k: (700, np.int64(n)) for k, n in want.items()}
+
+
+def test_scattered_numbers_never_overflow(spark):
+    seqs = [0, 1, 4294967295, 3370000, 8999999 * 1031, 2**62 + 12345, 2**63 - 1, -1, -65537, -(2**40) - 77]
+    rows = spark.createDataFrame([(i,) for i in seqs], "i long").select("i", workload.scattered(F.col("i")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: (abs(i) * 2654435761 % 2**32) * (1 if i >= 0 else -1) for i in seqs}
+    values = spark.createDataFrame([(8999999,), (4,)], "i long").select("i", workload.random_value(F.col("i"), 0, 64, 5).alias("v")).collect()
+    plain = lambda i: i * 2654435761 % 2**32
+    assert {r.i: r.v for r in values} == {i: "".join(workload.ALPHABET[(plain(i * 1031 + k * 7 + 5) >> 8) % 62] for k in range(1, plain(i * 31 + 5) % 65 + 1)) for i in (8999999, 4)}
