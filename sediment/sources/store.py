@@ -4,6 +4,10 @@ Put and delete append to the log; flush writes what waits as one generation, sor
 a manifest row; opening reads what is committed and replays the log after it. Compaction writes the newest record of
 each key, without deletes, as one more generation, whose manifest row replaces all before it. A crash before a commit leaves files
 that nothing reads, the log still holds their ops, and the next flush writes that generation's folder anew. One writer at a time; readers see committed snapshots.
+
+The generations of one flush lie in one folder, named by the first of them, in files of about ROWS records sorted by
+(generation, key): however many runs a bulk load closes, it writes and later readers list as many files as its size asks for.
+Folders of a single generation, as stores had them before, are read as well.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ from ..operators import generations, state
 from ..shared import drop
 
 OPS = "seq long, key string, op int, value string"
-MANIFEST = "generation long, filename string, first_seq long, last_seq long, replaces long"
+#: folder is the first generation of the flush (null: a folder of this generation alone).
+MANIFEST = "generation long, filename string, first_seq long, last_seq long, replaces long, folder long"
+ROWS = 1 << 19
 
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str, threshold: int = 5, files: int = 1) -> None:
-        """files: Parquet files of a generation, by range of key (more for larger generations)."""
+        """files: Parquet files of a flush at least, by range of (generation, key); larger ones have more."""
         self.spark, self.folder, self.threshold, self.files = spark, folder.rstrip("/"), threshold, files
 
     # what is on disk
@@ -43,8 +49,10 @@ class Store:
 
     def tables(self) -> DataFrame:
         """Records of committed generations only."""
-        rows = self._rows("generations", "key string, op int, value string, generation long")
-        return rows.join(self.manifest().select("generation"), "generation", "left_semi")
+        rows = self._rows("generations", "number long, key string, op int, value string, generation long")
+        named = rows.select(F.col("generation").alias("folder"), F.coalesce("number", "generation").alias("generation"), "key", "op", "value")
+        held = self.manifest().select(F.coalesce("folder", "generation").alias("folder"), "generation")
+        return named.join(held, ["folder", "generation"], "left_semi")
 
     def committed(self) -> tuple[int, int]:
         """(next generation, last committed seq)."""
@@ -84,8 +92,8 @@ class Store:
         if not ends.isEmpty():
             runs = generations.assigned(waiting, ends)
             rows = state.last_ops(runs, "generation").select((F.col("generation") + begin).alias("generation"), "key", F.col("op").cast("int").alias("op"), "value")
-            self._write(rows)
-            self._commit(ends.select((F.col("generation") + begin).alias("generation"), "first_seq", "last_seq", F.lit(None).cast("long").alias("replaces")))
+            self._write(rows, begin, waiting.count())
+            self._commit(ends.select((F.col("generation") + begin).alias("generation"), "first_seq", "last_seq", F.lit(None).cast("long").alias("replaces"), F.lit(begin).cast("long").alias("folder")))
         drop(found)
 
     def compact(self) -> None:
@@ -94,14 +102,17 @@ class Store:
         if not now["n"]:
             return
         none = self.spark.createDataFrame([], "key string, op int, value string")
-        self._write(generations.merged(self.tables(), none).select(F.lit(now["g"] + 1).alias("generation"), "key", F.lit(state.PUT).alias("op"), "value"))
-        self._commit(self.spark.createDataFrame([(now["g"] + 1, now["first_seq"], now["last_seq"], now["g"])], "generation long, first_seq long, last_seq long, replaces long"))
+        tables, g = self.tables(), now["g"] + 1
+        self._write(generations.merged(tables, none).select(F.lit(g).cast("long").alias("generation"), "key", F.lit(state.PUT).alias("op"), "value"), g, tables.count())
+        self._commit(self.spark.createDataFrame([(g, now["first_seq"], now["last_seq"], now["g"], g)], "generation long, first_seq long, last_seq long, replaces long, folder long"))
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.repartitionByRange(self.files, "generation", "key").sortWithinPartitions("generation", "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation").parquet(f"{self.folder}/generations")
+    def _write(self, rows: DataFrame, first: int, most: int) -> None:
+        """The folder of a flush whose first generation is `first`; there are at most `most` records."""
+        files = max(self.files, -(-most // ROWS))
+        rows.select(F.col("generation").alias("number"), "key", "op", "value").repartitionByRange(files, "number", "key").sortWithinPartitions("number", "key").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.folder}/generations/generation={first}")
 
     def _commit(self, ends: DataFrame) -> None:
-        ends.select("generation", F.format_string("%06d.sst", "generation").alias("filename"), "first_seq", "last_seq", "replaces").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        ends.select("generation", F.format_string("%06d.sst", "generation").alias("filename"), "first_seq", "last_seq", "replaces", "folder").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
     # reads
     def live(self) -> DataFrame:

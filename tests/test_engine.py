@@ -259,3 +259,33 @@ def test_scattered_numbers_never_overflow(spark):
     values = spark.createDataFrame([(8999999,), (4,)], "i long").select("i", workload.random_value(F.col("i"), 0, 64, 5).alias("v")).collect()
     plain = lambda i: i * 2654435761 % 2**32
     assert {r.i: r.v for r in values} == {i: "".join(workload.ALPHABET[(plain(i * 1031 + k * 7 + 5) >> 8) % 62] for k in range(1, plain(i * 31 + 5) % 65 + 1)) for i in (8999999, 4)}
+
+
+def test_a_flush_is_one_folder_however_many_generations(spark, tmp_path):
+    rows = [(s, k, o, v if o == 1 else None) for s, k, o, v in random_log(9, n=600)]
+    m = Model(3)
+    for _, k, o, v in rows:
+        m.apply(k, o, v)
+    s = store(spark, tmp_path, threshold=3)
+    # what a crash before the commit left, both in this flush's folder and in a folder of a single generation
+    for g, more in ((0, {"number": F.lit(1)}), (2, {})):
+        spark.createDataFrame([("stray", 1, "stray")], "key string, op int, value string").withColumns(more).write.parquet(f"{s.folder}/generations/generation={g}")
+    s.write(spark.createDataFrame(rows[:300], LOG))
+    s.write(spark.createDataFrame([(q - 300, k, o, v) for q, k, o, v in rows[300:]], LOG))
+    again = store(spark, tmp_path, threshold=3)
+    assert {(r.generation, r.key): (r.op, r.value) for r in again.tables().collect()} == {(g, k): x for g, t in enumerate(m.tables) for k, x in t.items()}
+    assert len(m.tables) > 100 and len({p.parent for p in (tmp_path / "db" / "generations").rglob("*.parquet")}) <= 3
+    again.compact()
+    want = {k: m.get(k) for k in {r[1] for r in rows} if m.get(k) is not None}
+    assert {r.key: r.value for r in store(spark, tmp_path, threshold=3).live().collect()} == want
+
+
+def test_a_store_of_folders_of_single_generations_opens(spark, tmp_path):
+    s = store(spark, tmp_path)
+    spark.createDataFrame([(0, "a", 1, "1"), (1, "b", 1, "1"), (2, "a", 2, None), (3, "w", 1, "waits")], LOG).write.parquet(f"{s.folder}/log")
+    spark.createDataFrame([("a", 1, "1", 0), ("b", 1, "1", 0), ("a", 2, None, 1)], "key string, op int, value string, generation long").write.partitionBy("generation").parquet(f"{s.folder}/generations")
+    spark.createDataFrame([(0, "000000.sst", 0, 1, None), (1, "000001.sst", 2, 2, None)], "generation long, filename string, first_seq long, last_seq long, replaces long").write.parquet(f"{s.folder}/manifest")
+    s.flush()
+    assert {r.key: r.value for r in store(spark, tmp_path).live().collect()} == {"b": "1", "w": "waits"} and s.manifest().count() == 3
+    s.compact()
+    assert {r.key: r.value for r in store(spark, tmp_path).live().collect()} == {"b": "1", "w": "waits"}
