@@ -3,13 +3,15 @@
 A put flushes once `threshold` keys wait (deletes that wait don't count); a delete flushes once keys and deletes
 together reach it. Where a run ends depends on where the one before it ended, so one store's ops are folded in
 order, as one store has one writer: the fold streams over (seq, key, op), holds one run's keys, and gives out a row for
-each run, which is written once. Ops meet their runs in a join on ranges of seq, and never pass through the fold. A
+each run, which is written once. A long log is folded chunk by chunk, each from the keys that waited at the end of the one
+before, so that no task sorts more than a chunk. Ops meet their runs in a join on ranges of seq, and never pass through the fold. A
 cluster has a store for each shard, and shards fold side by side. Flushes forced by number need no fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bloom, codec, hashing, vectors
-from ..shared import written
+from ..shared import drop, written
 from ..shipping import ship
 from . import state
 
 THRESHOLD = 50
+CHUNK = 1 << 22
 
 
 def listed(col: pa.Array) -> list:
@@ -33,62 +36,87 @@ def listed(col: pa.Array) -> list:
     return col.to_pylist()
 
 
-def boundaries(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = None) -> DataFrame:
+def boundaries(log: DataFrame, threshold: int = THRESHOLD, shard: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(_shard,) generation, first_seq, last_seq, flushed of each run, as a written table; flushed is false for ops that no flush has closed yet.
 
-    shard: a column that tells stores apart (else the log is one store).
+    shard: a column that tells stores apart (else the log is one store). chunk: ops that a task sorts and folds, about.
     """
     ship(log.sparkSession)
     slim = log.select(*([F.col(shard).alias("_shard")] if shard else []), "seq", "key", "op")
-    parted = slim.repartition("_shard").sortWithinPartitions("_shard", "seq") if shard else slim.repartition(1).sortWithinPartitions("seq")
+    order = ["_shard", "seq"] if shard else ["seq"]
     seq = slim.schema["seq"].dataType
     own = [T.StructField("_shard", slim.schema["_shard"].dataType)] if shard else []
     schema = T.StructType([*own, T.StructField("generation", T.LongType()), T.StructField("first_seq", seq), T.StructField("last_seq", seq), T.StructField("flushed", T.BooleanType())])
     names = [f.name for f in schema]
-
-    def fold(batches: Iterator[pa.RecordBatch]):
-        puts: set = set()
-        gone: set = set()
-        found: list[tuple] = []
-        generation, now, first, last = 0, object(), None, None
-        types = None
-
-        def run(flushed: bool) -> tuple:
-            return (*((now,) if shard else ()), generation, first, last, flushed)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
-
-        for b in batches:
-            types = types or [*([b.schema.field("_shard").type] if shard else []), pa.int64(), b.schema.field("seq").type, b.schema.field("seq").type, pa.bool_()]
-            shards = listed(b.column("_shard")) if shard else repeat(None)
-            for s, seq, key, op in zip(shards, listed(b.column("seq")), listed(b.column("key")), listed(b.column("op")), strict=False):
-                if s != now:
-                    if first is not None:
-                        found.append(run(False))
-                    puts, gone, generation, now, first = set(), set(), 0, s, None
-                if first is None:
-                    first = seq
-                last = seq
-                if op == state.PUT:
-                    puts.add(key)
-                    gone.discard(key)
-                    full = len(puts) >= threshold
-                else:
-                    puts.discard(key)
-                    gone.add(key)
-                    full = len(puts) + len(gone) >= threshold
-                if full:
-                    found.append(run(True))
-                    puts, gone, generation, first = set(), set(), generation + 1, None
-            if found:
+    waits = [T.StructField(n, T.ArrayType(slim.schema["key"].dataType)) for n in ("puts", "gone")]
+
+    def folded(rows: DataFrame, held: dict | None, ends: bool) -> DataFrame:
+        """The runs of rows that follow `held`; unless the log ends here, the last row says what waits then (puts is not null)."""
+
+        def fold(batches: Iterator[pa.RecordBatch]):
+            puts: set = set(held["puts"]) if held else set()
+            gone: set = set(held["gone"]) if held else set()
+            generation, first, last = (held["generation"], held["first_seq"], held["last_seq"]) if held else (0, None, None)
+            now = held.get("_shard") if held else object()
+            found: list[tuple] = []
+            types = None
+
+            def run(flushed: bool, *waiting: list) -> tuple:
+                return (*((now,) if shard else ()), generation, first, last, flushed, *(waiting or (None, None)))
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], [*names, "puts", "gone"])
+
+            for b in batches:
+                kept = pa.list_(b.schema.field("key").type)
+                types = types or [*([b.schema.field("_shard").type] if shard else []), pa.int64(), b.schema.field("seq").type, b.schema.field("seq").type, pa.bool_(), kept, kept]
+                shards = listed(b.column("_shard")) if shard else repeat(None)
+                for s, seq, key, op in zip(shards, listed(b.column("seq")), listed(b.column("key")), listed(b.column("op")), strict=False):
+                    if s != now:
+                        if first is not None:
+                            found.append(run(False))
+                        puts, gone, generation, now, first = set(), set(), 0, s, None
+                    if first is None:
+                        first = seq
+                    last = seq
+                    if op == state.PUT:
+                        puts.add(key)
+                        gone.discard(key)
+                        full = len(puts) >= threshold
+                    else:
+                        puts.discard(key)
+                        gone.add(key)
+                        full = len(puts) + len(gone) >= threshold
+                    if full:
+                        found.append(run(True))
+                        puts, gone, generation, first = set(), set(), generation + 1, None
+                if found:
+                    yield out()
+                    found = []
+            if types and not ends:
+                found = [run(False, list(puts), list(gone))]
+                yield out()
+            elif first is not None:
+                found = [run(False)]
                 yield out()
-                found = []
-        if first is not None:
-            found = [run(False)]
-            yield out()
 
-    return written(parted.mapInArrow(fold, schema), "runs")
+        return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(fold, T.StructType([*schema, *waits]))
+
+    ops = slim.count()
+    if ops <= chunk:
+        return written(folded(slim, None, True).select(*names), "runs")
+    # by range, each op in one chunk: the table is written, so all jobs below see the same chunks
+    dealt = written(slim.repartitionByRange(-(-ops // chunk), *order).withColumn("_chunk", F.spark_partition_id()), "chunks", "_chunk")
+    chunks = sorted(r["_chunk"] for r in dealt.select("_chunk").distinct().collect())
+    held, parts = None, []
+    for c in chunks:
+        parts.append(written(folded(dealt.where(F.col("_chunk") == c).drop("_chunk"), held, c == chunks[-1]), "part"))
+        if c != chunks[-1]:
+            held = parts[-1].where("puts is not null").first().asDict()
+    runs = written(reduce(DataFrame.unionByName, parts).where("puts is null").select(*names), "runs")
+    for table in (dealt, *parts):
+        drop(table)
+    return runs
 
 
 def assigned(log: DataFrame, ends: DataFrame, shard: str | None = None) -> DataFrame:

@@ -289,3 +289,16 @@ def test_a_store_of_folders_of_single_generations_opens(spark, tmp_path):
     assert {r.key: r.value for r in store(spark, tmp_path).live().collect()} == {"b": "1", "w": "waits"} and s.manifest().count() == 3
     s.compact()
     assert {r.key: r.value for r in store(spark, tmp_path).live().collect()} == {"b": "1", "w": "waits"}
+
+
+@pytest.mark.parametrize(("threshold", "shard"), [(5, False), (60, False), (4, True)])
+def test_a_long_log_is_folded_chunk_by_chunk(spark, threshold, shard):
+    rows = random_log(11, n=300)
+    log = spark.createDataFrame(rows, LOG).withColumn("node", F.when(F.col("key") < "k15", "a").otherwise("b")).repartition(3)
+    ends = gen.boundaries(log, threshold, "node" if shard else None, chunk=70)
+    got = {r.seq: (r.generation, r.flushed) for r in gen.assigned(log, ends, "node" if shard else None).collect()}
+    for side in (True, False) if shard else (None,):
+        m, mine = Model(threshold), [r for r in rows if side is None or (r[1] < "k15") == side]
+        for _, k, o, v in mine:
+            m.apply(k, o, v)
+        assert [got[r[0]] for r in mine] == [(g, g < len(m.tables)) for g in m.of]
